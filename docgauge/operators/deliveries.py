@@ -12,16 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgauge.operators.skewed import SALT, key_counts, lookup
+from docgauge.operators.skewed import COUNT, SALT, hot_keys, key_counts, lookup
 
 _TIMES, _RANK = "__times", "__rank"
 
 
 def _with_frequency(known: DataFrame, key: str, order_by: Sequence[str], how: str) -> DataFrame:
     """Rows with ``__times``, the count of their key, null where it is one."""
-    counts, hot = key_counts(known, key)
-    repeated = counts.withColumnRenamed("__hot_count", _TIMES).where(F.col(_TIMES) > 1)
-    return lookup(known, repeated, key, spread=list(order_by), hot=hot, how=how)
+    repeated = key_counts(known, key).withColumnRenamed(COUNT, _TIMES).where(F.col(_TIMES) > 1)
+    return lookup(known, repeated, key, spread=list(order_by), hot=hot_keys(known, key), how=how)
 
 
 def _ranked(repeated: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:

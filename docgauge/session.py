@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: dict[int, str] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table ``name`` of ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -30,9 +35,24 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared folder, without its lineage.
+    """``df`` written as a table in the shared folder and read back.
 
-    A reliable checkpoint: losing executors after it costs nothing.
+    This cuts the lineage: losing executors afterwards costs nothing.  Unlike
+    ``checkpoint()`` it computes ``df`` once.  The table lives until
+    :func:`discard` or until the shared folder is emptied.
     """
-    shared_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(kept)] = path
+    weakref.finalize(kept, _WRITTEN.pop, id(kept), None)
+    return kept
+
+
+def discard(kept: DataFrame) -> None:
+    """Deletes the table behind a result of :func:`cut` that is needed no more."""
+    path = _WRITTEN.pop(id(kept), None)
+    if path:
+        java = kept.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        java.getFileSystem(kept.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(java, True)
