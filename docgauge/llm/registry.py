@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgauge.llm import grouped_split_queries, quantile_queries, stable_sample_queries
+from docgauge.llm import grouped_split_queries, page_shape_queries, quantile_queries, stable_sample_queries
 
-FAMILIES = (grouped_split_queries, quantile_queries, stable_sample_queries)
+FAMILIES = (grouped_split_queries, page_shape_queries, quantile_queries, stable_sample_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
