@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgauge.llm import answer_defect_queries, grouped_split_queries, page_shape_queries, quantile_queries, stable_sample_queries
+from docgauge.llm import answer_defect_queries, grouped_split_queries, mixture_queries, packing_queries, page_shape_queries, quantile_queries, stable_sample_queries
 
-FAMILIES = (answer_defect_queries, grouped_split_queries, page_shape_queries, quantile_queries, stable_sample_queries)
+FAMILIES = (answer_defect_queries, grouped_split_queries, mixture_queries, packing_queries, page_shape_queries, quantile_queries, stable_sample_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
