@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgauge.queries import deliveries
+from docgauge.queries import deliveries, records, scoring
 
-FAMILIES = (deliveries,)
+FAMILIES = (scoring, records, deliveries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
