@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgauge.queries import deliveries, records, scoring
+from docgauge.queries import comparison, deliveries, records, resampling, scoring, selection, statistics
 
-FAMILIES = (scoring, records, deliveries)
+FAMILIES = (scoring, records, comparison, statistics, selection, resampling, deliveries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
