@@ -23,7 +23,7 @@ FEW_SHAPES = 12
 LEAST_WORDS = 12
 #: A sentence is stuffed if this part of it are keywords of the page, of which
 #: there are so many at most.
-STUFFED = 0.3
+STUFFED = 0.25
 KEYWORDS = 6
 
 # Function words of English, French, German, Spanish.
