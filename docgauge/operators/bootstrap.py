@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgauge.functions.digests import hashed, hashed_index
+from docgauge.operators.sampling import running_total
 
 
 def cluster_bootstrap(scores: DataFrame, group: str, base: str, other: str, *, replicates: int, seed: int) -> DataFrame:
@@ -17,8 +18,7 @@ def cluster_bootstrap(scores: DataFrame, group: str, base: str, other: str, *, r
     replicate and the draw alone.
     """
     sums = scores.groupBy(group).agg(F.sum(F.col(other) - F.col(base)).alias("gain"), F.count(F.lit(1)).alias("n"))
-    # one row per group, far fewer than questions
-    dense = sums.withColumn("place", F.row_number().over(Window.orderBy(group)) - 1).select("place", "gain", "n")
+    dense = running_total(sums, F.lit(1), F.substring(group, 1, 4), [F.col(group)], "place", before=True).select("place", "gain", "n")
     size = sums.agg(F.count(F.lit(1))).scalar()
     draws = scores.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("draw"))
     draws = draws.withColumn("place", hashed_index(hashed(seed, F.col("replicate"), F.col("draw")), size))

@@ -2,29 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percentile_linear(value: Column, p: float) -> Column:
-    """Aggregate: exact percentile, interpolated between neighbours; null if empty."""
-    return F.percentile(value, F.lit(p))
+#: Values that agree in this many parts of a natural logarithm share a bucket.
+BUCKETS = 256
 
 
-def percentile_nearest(df: DataFrame, by: Sequence[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Exact values at index round(p * (n - 1)), halves to even.
+def order_statistics(df: DataFrame, by: Sequence[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Exact values at places (0-based, as functions of the count) in each group's order.
 
-    Distinct values are counted first, so a group is ranked by what differs in
-    it and nothing is collected.
+    Null and NaN values take no part.  Rows are first counted by value, then by
+    buckets of near values; only the buckets that hold a wanted place are
+    ordered.  So no task sees a whole group, however large, and no group's
+    values are held in memory.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    running = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    ranked = counts.withColumn("upto", F.sum("n").over(running)).withColumn("total", F.sum("n").over(whole))
-    index = {k: F.rint(F.lit(p) * (F.col("total") - 1)) for k, p in ps.items()}
-    return ranked.groupBy(*by).agg(*[F.min(F.when(F.col("upto") > i, F.col(value))).alias(k) for k, i in index.items()])
+    bucket = F.floor(F.asinh(F.col(value)) * BUCKETS).alias("__b")
+    clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    counts = clean.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).select(*by, value, "__n", bucket)
+    ordered = Window.partitionBy(*by).orderBy("__b")
+    buckets = counts.groupBy(*by, "__b").agg(F.sum("__n").alias("__size"))
+    buckets = buckets.withColumn("__end", F.sum("__size").over(ordered)).withColumn("__total", F.sum("__size").over(Window.partitionBy(*by)))
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), place(F.col("__total")).cast("long").alias("at")) for k, place in places.items()]))
+    wanted = buckets.select(*by, "__b", "__end", "__size", named.alias("__w")).select(*by, "__b", "__w.name", (F.col("__w.at") - F.col("__end") + F.col("__size")).alias("at"), "__size")
+    wanted = wanted.where((F.col("at") >= 0) & (F.col("at") < F.col("__size")))
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"w.{k}")) for k in [*by, "__b"]]
+    near = counts.alias("c").join(wanted.alias("w"), same).select("c.*", "w.name", "w.at")
+    upto = F.sum("__n").over(Window.partitionBy(*by, "__b", "name").orderBy(value))
+    reached = near.withColumn("__upto", upto).where(F.col("__upto") > F.col("at"))
+    return reached.groupBy(*by).agg(*[F.min(F.when(F.col("name") == k, F.col(value))).alias(k) for k in places])
+
+
+def percentiles_linear(df: DataFrame, by: Sequence[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """Exact percentiles, interpolated between the neighbours of place p * (n - 1)."""
+    places: dict[str, Callable[[Column], Column]] = {}
+    for k, p in ps.items():
+        places[f"{k}__low"] = lambda n, p=p: F.floor(F.lit(p) * (n - 1))
+        places[f"{k}__high"] = lambda n, p=p: F.ceil(F.lit(p) * (n - 1))
+    found = order_statistics(df, by, value, places)
+    sizes = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    both = found.alias("f").join(sizes.alias("s"), [F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by])
+    part = {k: F.lit(p) * (F.col("__n") - 1) - F.floor(F.lit(p) * (F.col("__n") - 1)) for k, p in ps.items()}
+    return both.select(*[F.col(f"f.{k}") for k in by], *[(F.col(f"{k}__low") + (F.col(f"{k}__high") - F.col(f"{k}__low")) * part[k]).alias(k) for k in ps])
+
+
+def percentiles_nearest(df: DataFrame, by: Sequence[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """Exact values at place round(p * (n - 1)), halves to even."""
+    return order_statistics(df, by, value, {k: (lambda n, p=p: F.rint(F.lit(p) * (n - 1))) for k, p in ps.items()})
 
 
 def histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

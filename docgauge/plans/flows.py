@@ -94,7 +94,7 @@ def compare_runs(required: DataFrame, base: DataFrame, other: DataFrame, groups:
     counts = rows.agg(*delta_counts(F.col("delta"))).first().asDict()
     scores = F.concat_ws(":", F.col("question_id").cast("string"), F.col("group"), F.col("base").cast("string"), F.col("other").cast("string"))
     members = F.concat_ws(":", F.col("question_id").cast("string"), F.col("group"))
-    digests = rows.agg(sequence_digest(scores, F.col("question_id")).alias("scores_digest"), sequence_digest(members, F.col("question_id")).alias("groups_digest")).first().asDict()
+    digests = {name: (sequence_digest(rows, [], value, F.col("question_id")).first() or [None])[0] for name, value in (("scores_digest", scores), ("groups_digest", members))}
     attached, why = attachable(dict(interval or {}), digests)
     return {**counts, **digests, "interval": dict(interval) if interval and attached else None, "interval_state": why}
 

@@ -10,6 +10,7 @@ from docgauge.functions.geometry import aspect_log, tile_count, tile_ratios, vis
 from docgauge.operators.bootstrap import cluster_bootstrap
 from docgauge.operators.neighbors import nearest_donors
 from docgauge.queries.comparison import _S, _paired
+from docgauge.queries.selection import chunked_sql
 from docgauge.session import table
 
 REPLICATES, SEED = 200, 42
@@ -30,8 +31,10 @@ def bootstrap_interval(spark: SparkSession, folder: str) -> DataFrame:
 def paired_digests(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of each run's paired scores and of its groups: what an interval is bound to."""
     rows = _grouped(spark, folder)
-    score = F.concat_ws(":", F.col("question_id").cast("string"), F.col("group"), F.format_number("base", 6), F.format_number("other", 6))
-    return rows.groupBy("run_tag").agg(sequence_digest(score, F.col("question_id")).alias("scores_digest"), sequence_digest(F.concat_ws(":", F.col("question_id").cast("string"), F.col("group")), F.col("question_id")).alias("groups_digest"))
+    member = F.concat_ws(":", F.col("question_id").cast("string"), F.col("group"))
+    score = F.concat_ws(":", member, F.format_number("base", 6), F.format_number("other", 6))
+    scores = sequence_digest(rows, ["run_tag"], score, F.col("question_id")).withColumnRenamed("digest", "scores_digest")
+    return scores.join(sequence_digest(rows, ["run_tag"], member, F.col("question_id")).withColumnRenamed("digest", "groups_digest"), "run_tag")
 
 
 def nearest_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,8 +62,8 @@ k AS (SELECT count(*) AS k FROM sums),
 d AS (SELECT r, ('0x' || substr(sha256('{SEED}:' || r || ':' || i), 1, 8))::BIGINT % (SELECT k FROM k) AS place FROM range({REPLICATES}) a(r), range((SELECT k FROM k)) b(i)),
 m AS (SELECT r, sum(gain) / sum(n) AS mean FROM d JOIN sums USING (place) GROUP BY 1)
 SELECT (SELECT round(sum(gain) / sum(n), 6) FROM sums) AS observed, round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS replicates FROM m""",
-    "paired_digests": f"""{_GROUPED} SELECT run_tag, sha256(string_agg(question_id || ':' || grp || ':' || printf('%.6f', base) || ':' || printf('%.6f', other), ',' ORDER BY question_id)) AS scores_digest,
-  sha256(string_agg(question_id || ':' || grp, ',' ORDER BY question_id)) AS groups_digest FROM g GROUP BY 1""",
+    "paired_digests": f"""{_GROUPED}, v AS (SELECT run_tag, question_id, question_id || ':' || grp AS member, question_id || ':' || grp || ':' || printf('%.6f', base) || ':' || printf('%.6f', other) AS score FROM g)
+  SELECT run_tag, a.digest AS scores_digest, b.digest AS groups_digest FROM ({chunked_sql('v', 'run_tag', 'score', 'question_id')}) a JOIN ({chunked_sql('v', 'run_tag', 'member', 'question_id')}) b USING (run_tag)""",
     "nearest_parts": """WITH a AS (SELECT p_partkey, p_brand, p_type, ln(greatest(p_size * 40, 1) / greatest(p_retailprice, 1)) AS v FROM part)
   SELECT q.p_partkey, (min((abs(q.v - d.v), d.p_partkey)))[2] AS donor, round((min((abs(q.v - d.v), d.p_partkey)))[1], 6) AS distance FROM a q JOIN a d ON q.p_brand <> d.p_brand AND q.p_type <> d.p_type GROUP BY 1""",
     "tile_distribution": f"""WITH RECURSIVE r(k, i, j) AS (VALUES {_RATIOS}), a AS (SELECT p_partkey, p_size * 40 AS w, greatest(1, trunc(p_retailprice)::INT) AS h FROM part),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docgauge.functions.digests import row_digest, sequence_digest, set_digest
 from docgauge.functions.text import first_valid, optional_id
 from docgauge.operators.leakage import blocked_groups, exclusion_reasons, group_key, overlap_counts
+from docgauge.operators.skewed import SALT, lookup
 from docgauge.operators.sampling import presented, spread_evenly, take_groups, take_per_group
 from docgauge.session import table
 
@@ -82,8 +83,10 @@ def overlap_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents_with_many_ids(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "manifest_examples").withColumn("ucsf", optional_id(F.col("ucsf_document_id"))).where(F.col("ucsf").isNotNull())
-    return rows.groupBy("ucsf").agg(F.count_distinct("doc_id").alias("docs"), F.array_join(F.array_sort(F.collect_set("doc_id")), ",").alias("doc_ids")).where(F.col("docs") > 1)
+    """(ucsf, doc_id, docs): the ids of each document that has several, one row per id."""
+    rows = table(spark, folder, "manifest_examples").select(optional_id(F.col("ucsf_document_id")).alias("ucsf"), "doc_id").where(F.col("ucsf").isNotNull()).distinct()
+    several = rows.groupBy("ucsf").agg(F.count("doc_id").alias("docs")).where(F.col("docs") > 1)
+    return lookup(rows, several, "ucsf", spread=["doc_id"], how="inner").drop(SALT)
 
 
 def inconsistent_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,8 +104,9 @@ def image_status(spark: SparkSession, folder: str) -> DataFrame:
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of each shard's questions: as a set, and in the order of the list."""
-    rows = table(spark, folder, "manifest_examples")
-    return rows.groupBy("source_shard").agg(set_digest(F.col("question_id")).alias("as_set"), sequence_digest(F.col("question_id"), F.col("example_index")).alias("in_order"))
+    rows = table(spark, folder, "manifest_examples").select(F.coalesce("source_shard", F.lit("")).alias("source_shard"), "question_id", "example_index")
+    in_order = sequence_digest(rows, ["source_shard"], F.col("question_id"), F.col("example_index")).withColumnRenamed("digest", "in_order")
+    return set_digest(rows, ["source_shard"], F.col("question_id")).withColumnRenamed("digest", "as_set").join(in_order, "source_shard")
 
 
 def content_digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,6 +128,14 @@ QUERIES = {
     )
 }
 
+
+
+def chunked_sql(source: str, by: str, value: str, order: str) -> str:
+    level = f"SELECT {by}, {order} // 1024 AS c, sha256(string_agg({value}::VARCHAR, ',' ORDER BY {order})) AS d FROM {source} GROUP BY ALL"
+    tops = f"SELECT {by}, c // 1024 AS t, sha256(string_agg(d, ',' ORDER BY c)) AS d FROM ({level}) GROUP BY ALL"
+    return f"SELECT {by}, sha256(string_agg(d, ',' ORDER BY t)) AS digest FROM ({tops}) GROUP BY ALL"
+
+
 _T = r"nullif(regexp_replace({0}, '^[\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}]+|[\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}]+$', '', 'g'), '')"
 _U, _PG = _T.format("ucsf_document_id"), _T.format("ucsf_document_page_no")
 _E = f"""WITH e AS (SELECT *, CASE WHEN {_U} IS NOT NULL THEN 'UCSF|' || {_U} || '||' ELSE 'PAGE_FALLBACK|' || doc_id || '|' || coalesce({_PG}, '') || '|' || coalesce(source_image_sha256, '') END AS group_id,
@@ -150,11 +162,14 @@ SELECT reason, count(*) AS n FROM r GROUP BY 1""",
         f"SELECT '{k}' AS signal, count(*) AS shared FROM (SELECT {x} AS v FROM manifest_examples INTERSECT SELECT {x} FROM internvl_error_sample_v1) WHERE v IS NOT NULL"
         for k, x in {"question": "question_id", "ucsf": _U, "page": f"CASE WHEN {_U} IS NOT NULL THEN concat_ws('/', {_U}, {_PG}) END", "doc": "doc_id", "image": "image_relpath", "text": "sha256(lower(question))"}.items()
     ),
-    "documents_with_many_ids": f"""SELECT {_U} AS ucsf, count(DISTINCT doc_id) AS docs, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS doc_ids FROM manifest_examples WHERE {_U} IS NOT NULL GROUP BY 1 HAVING docs > 1""",
+    "documents_with_many_ids": f"""WITH d AS (SELECT DISTINCT {_U} AS ucsf, doc_id FROM manifest_examples WHERE {_U} IS NOT NULL)
+  SELECT ucsf, doc_id, count(doc_id) OVER (PARTITION BY ucsf) AS docs FROM d QUALIFY docs > 1""",
     "inconsistent_pages": "SELECT doc_id, ucsf_document_page_no, count(DISTINCT source_image_sha256) AS images, count(*) AS n FROM manifest_examples GROUP BY 1, 2 HAVING images > 1",
     "image_status": """SELECT CASE WHEN source_image_sha256 IS NULL AND image_sha256_png IS NULL THEN 'missing' WHEN image_sha256_png = source_image_sha256 THEN 'ok' WHEN rgb_hash IS NULL THEN 'unverified' ELSE 'mismatch' END AS state, count(*) AS n
   FROM manifest_examples GROUP BY 1""",
-    "digests": """SELECT source_shard, sha256(string_agg(question_id::VARCHAR, ',' ORDER BY question_id::VARCHAR)) AS as_set, sha256(string_agg(question_id::VARCHAR, ',' ORDER BY example_index)) AS in_order FROM manifest_examples GROUP BY 1""",
+    "digests": f"""WITH m AS (SELECT coalesce(source_shard, '') AS source_shard, question_id, example_index FROM manifest_examples)
+  SELECT source_shard, a.digest AS as_set, b.digest AS in_order FROM ({chunked_sql('(SELECT DISTINCT source_shard, question_id FROM m)', 'source_shard', 'question_id', 'question_id')}) a
+  JOIN ({chunked_sql('m', 'source_shard', 'question_id', 'example_index')}) b USING (source_shard)""",
     "content_digests": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
     "row_digests": "SELECT question_id, sha256(concat_ws(chr(31), coalesce(doc_id::VARCHAR, chr(0)), coalesce(ucsf_document_id, chr(0)), coalesce(target_answer, chr(0)))) AS digest FROM manifest_examples",
 }

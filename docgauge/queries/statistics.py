@@ -20,15 +20,14 @@ def _seconds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latency_linear(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _seconds(spark, folder).groupBy(*RUN).agg(
-        F.count(F.lit(1)).alias("n"), stats.percentile_linear(F.col("generation_seconds"), 0.5).alias("median"),
-        stats.percentile_linear(F.col("generation_seconds"), 0.95).alias("p95"), F.avg("generation_seconds").alias("mean"), F.max("generation_seconds").alias("longest"),
-    )
+    seconds = _seconds(spark, folder)
+    places = stats.percentiles_linear(seconds, RUN, "generation_seconds", {"median": 0.5, "p95": 0.95})
+    rows = seconds.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"), F.avg("generation_seconds").alias("mean"), F.max("generation_seconds").alias("longest")).join(places, RUN)
     return rows.withColumns({c: F.round(c, 6) for c in ("median", "p95", "mean", "longest")})
 
 
 def latency_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.percentile_nearest(_seconds(spark, folder), ["system"], "generation_seconds", {"median": 0.5, "p95": 0.95})
+    return stats.percentiles_nearest(_seconds(spark, folder), ["system"], "generation_seconds", {"median": 0.5, "p95": 0.95})
 
 
 def tile_histogram(spark: SparkSession, folder: str) -> DataFrame:

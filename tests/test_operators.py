@@ -163,3 +163,22 @@ def test_digests():
     a["manifest_sha256"] = canonical_json_digest(a, drop=("manifest_sha256",))
     assert verified(a)["ok"] and not verified({**a, "b": 2})["ok"]
     assert fingerprint({"x": 1})["run_fingerprint_sha256"] != fingerprint({"x": 2})["run_fingerprint_sha256"]
+
+
+def test_percentiles_against_numpy(spark):
+    import numpy as np
+
+    from docgauge.operators.stats import percentiles_linear, percentiles_nearest
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), rng.gauss(0, 1), rng.expovariate(0.01), float(rng.randrange(5)), -0.0])) for _ in range(900)] + [("one", 3.5)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(4)
+    ps = {"low": 0.0, "mid": 0.5, "p95": 0.95, "top": 1.0}
+    linear = {r.g: r for r in percentiles_linear(df, ["g"], "x", ps).collect()}
+    nearest = {r.g: r for r in percentiles_nearest(df, ["g"], "x", ps).collect()}
+    for g in ("a", "b", None, "one"):
+        values = np.sort([x for k, x in rows if k == g and x is not None and x == x])
+        for name, p in ps.items():
+            assert linear[g][name] == pytest.approx(np.quantile(values, p), abs=1e-12)
+            assert nearest[g][name] == values[int(np.rint(p * (len(values) - 1)))]
+    assert percentiles_linear(df.limit(0), ["g"], "x", ps).count() == 0
