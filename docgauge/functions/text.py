@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,53 +43,62 @@ def distance_share(reference: Column, prediction: Column) -> Column:
     return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(a, b) / longest)
 
 
-def _best(references: Column, score) -> Column:
-    return F.coalesce(F.array_max(F.transform(valid_references(references), score)), F.lit(0.0))
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _normal_references(references: Column) -> Column:
+    return F.coalesce(F.filter(F.transform(references, normalize), lambda r: r != ""), F.array().cast("array<string>"))
 
 
-def strict_similarity(prediction: Column, references: Column, threshold: float = 0.5) -> Column:
-    """Best similarity over the references; a distance share of ``threshold`` or more scores 0.
+def _best(prediction: Column, references: Column, score: Callable[[Column], Column]) -> Column:
+    """The best score over the references, from the distance share of each.
 
-    A distance that cannot score is not computed to its end.
+    Texts are normalised once.  Equal texts, and lengths too far apart to
+    reach a similarity of a half, need no distance.
     """
-    p = normalize(F.coalesce(prediction, F.lit("")))
 
-    def score(reference: Column) -> Column:
-        r = normalize(reference)
-        longest = F.greatest(F.length(r), F.length(p))
-        share = F.levenshtein(r, p) / longest
-        near = F.abs(F.length(r) - F.length(p)) < longest * F.lit(threshold)
-        return F.when(p == "", F.lit(0.0)).when(near, F.when(share < threshold, 1.0 - share).otherwise(F.lit(0.0))).otherwise(F.lit(0.0))
+    def over(p: Column) -> Column:
+        def share(r: Column) -> Column:
+            longest = F.greatest(F.length(r), F.length(p))
+            far = 2 * F.abs(F.length(r) - F.length(p)) > longest
+            return F.when(r == p, F.lit(0.0)).when(far | (p == ""), F.lit(1.0)).otherwise(F.levenshtein(r, p) / longest)
+
+        return F.array_max(F.transform(F.transform(_normal_references(references), share), score))
 
-    return _best(references, score)
+    return F.coalesce(bind(normalize(F.coalesce(prediction, F.lit(""))), over), F.lit(0.0))
 
 
-def inclusive_similarity(prediction: Column, references: Column, threshold: float = 0.5) -> Column:
-    """Like the strict one, but a similarity of exactly ``threshold`` counts."""
+def strict_similarity(prediction: Column, references: Column) -> Column:
+    """Best similarity over the references; a distance share of a half or more scores 0."""
+    return _best(prediction, references, lambda share: F.when(share < 0.5, 1.0 - share).otherwise(F.lit(0.0)))
 
-    def score(reference: Column) -> Column:
-        similarity = 1.0 - distance_share(reference, prediction)
-        return F.when(similarity >= threshold, similarity).otherwise(F.lit(0.0))
 
-    return _best(references, score)
+def inclusive_similarity(prediction: Column, references: Column) -> Column:
+    """Like the strict one, but a similarity of exactly a half counts."""
+    return _best(prediction, references, lambda share: F.when(1.0 - share >= 0.5, 1.0 - share).otherwise(F.lit(0.0)))
 
 
 def raw_length_similarity(prediction: Column, references: Column, threshold: float = 0.5) -> Column:
     """Distance of the normalised texts over the longer raw upper-case length; the nearest reference decides."""
     raw = F.coalesce(prediction, F.lit(""))
 
-    def share(reference: Column) -> Column:
-        longest = F.greatest(F.length(F.upper(reference)), F.length(F.upper(raw)))
-        return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(normalize(reference), normalize(raw)) / longest)
+    def over(both: Column) -> Column:
+        def share(reference: Column) -> Column:
+            longest = F.greatest(F.length(F.upper(reference)), both["chars"])
+            return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(normalize(reference), both["text"]) / longest)
+
+        return 1.0 - F.array_min(F.transform(valid_references(references), share))
 
-    similarity = 1.0 - F.array_min(F.transform(valid_references(references), share))
-    return F.coalesce(F.when(similarity >= threshold, similarity), F.lit(0.0))
+    similarity = bind(F.struct(normalize(raw).alias("text"), F.length(F.upper(raw)).alias("chars")), over)
+    return F.coalesce(bind(similarity, lambda x: F.when(x >= threshold, x)), F.lit(0.0))
 
 
 def exact(prediction: Column, references: Column) -> Column:
     """Normalised equality with any valid reference; punctuation counts."""
     p = normalize(F.coalesce(prediction, F.lit("")))
-    return F.exists(valid_references(references), lambda r: normalize(r) == p).cast("double")
+    return F.array_contains(_normal_references(references), p).cast("double")
 
 
 def without_period(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgauge.session import cut
+
 
 def nearest_donors(rows: DataFrame, key: str, value: str, exclude: list[str], *, bucket: float = 0.25) -> DataFrame:
     """(key, donor, distance): the row of nearest ``value`` that differs in ``exclude``; ties to the smallest key.
@@ -19,7 +21,7 @@ def nearest_donors(rows: DataFrame, key: str, value: str, exclude: list[str], *,
     usable = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), *exclude)
     alike = usable.groupBy("v", *exclude).agg(F.min(key).alias("donor"))
     kinds = usable.select("v", *exclude).distinct()
-    donors = alike.select(F.col("v").alias("w"), "donor", *[F.col(c).alias(f"d_{c}") for c in exclude]).withColumn("place", F.floor(F.col("w") / bucket))
+    donors = cut(alike.select(F.col("v").alias("w"), "donor", *[F.col(c).alias(f"d_{c}") for c in exclude]).withColumn("place", F.floor(F.col("w") / bucket)))
     low, high = donors.agg(F.min("place"), F.max("place")).first() or (None, None)
     best = None
     waiting = kinds.withColumn("home", F.floor(F.col("v") / bucket))
@@ -33,6 +35,7 @@ def nearest_donors(rows: DataFrame, key: str, value: str, exclude: list[str], *,
         found = near.join(donors, "place").where(allowed).groupBy("v", *exclude).agg(F.min(F.struct(gap.alias("distance"), F.col("donor"))).alias("best"))
         edge = F.least(F.col("v") - (F.col("home") - reach) * bucket, (F.col("home") + reach + 1) * bucket - F.col("v"))
         joined = waiting.alias("q").join(found.alias("f"), [F.col("q.v") == F.col("f.v"), *[F.col(f"q.{c}").eqNullSafe(F.col(f"f.{c}")) for c in exclude]], "left").select("q.*", "f.best")
+        joined = cut(joined)
         done = F.col("best.distance") < edge
         all_seen = (F.col("home") - reach <= F.lit(low)) & (F.col("home") + reach >= F.lit(high))
         settled = joined.where(F.coalesce(done, F.lit(False)) | all_seen).select("v", *exclude, "best")
