@@ -23,7 +23,8 @@ def latency_linear(spark: SparkSession, folder: str) -> DataFrame:
     seconds = _seconds(spark, folder)
     places = stats.percentiles_linear(seconds, RUN, "generation_seconds", {"median": 0.5, "p95": 0.95})
     rows = seconds.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"), F.avg("generation_seconds").alias("mean"), F.max("generation_seconds").alias("longest")).join(places, RUN)
-    return rows.withColumns({c: F.round(c, 6) for c in ("median", "p95", "mean", "longest")})
+    # times have 6 decimals, so at 9 no interpolated value is a tie
+    return rows.withColumns({c: F.round(c, 9) for c in ("median", "p95")} | {c: F.round(c, 6) for c in ("mean", "longest")})
 
 
 def latency_nearest(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,7 +134,7 @@ _G = """WITH g AS (SELECT record_id, min(run_tag) AS run_tag, min(system) AS sys
   WHERE status = 'ok' AND NOT is_warmup AND generation_seconds > 0 AND isfinite(generation_seconds) GROUP BY 1)"""
 _X = "WITH x AS (SELECT system, analysis_id, run_tag, latency_generation_only_median AS x FROM holdout_final_analysis WHERE latency_generation_only_median IS NOT NULL)"
 SQL = {
-    "latency_linear": f"""{_G} SELECT run_tag, system, count(*) AS n, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.95), 6) AS p95, round(avg(x), 6) AS mean, round(max(x), 6) AS longest FROM g GROUP BY 1, 2""",
+    "latency_linear": f"""{_G} SELECT run_tag, system, count(*) AS n, round(quantile_cont(x, 0.5), 9) AS median, round(quantile_cont(x, 0.95), 9) AS p95, round(avg(x), 6) AS mean, round(max(x), 6) AS longest FROM g GROUP BY 1, 2""",
     "latency_nearest": f"""{_G}, r AS (SELECT system, x, row_number() OVER (PARTITION BY system ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY system) AS n FROM g)
   SELECT system, max(x) FILTER (i = round_even(0.5 * (n - 1), 0)) AS median, max(x) FILTER (i = round_even(0.95 * (n - 1), 0)) AS p95 FROM r GROUP BY 1""",
     "tile_histogram": "SELECT system, image_info.tile_count AS tile_count, count(*) AS n FROM holdout_predictions GROUP BY 1, 2",

@@ -16,7 +16,7 @@ def connect(folder: str):
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 6) + 0.0
+        return "nan" if math.isnan(value) else round(value, 9) + 0.0
     return str(value)[:26] if hasattr(value, "isoformat") else value
 
 
