@@ -73,9 +73,10 @@ def _shape(kind: str, line: str, words: int) -> tuple[str, int, str, str]:
 def _keywords(lines: list[str], least: float) -> frozenset[str]:
     """Words that recur in changing company, as in stuffed text.
 
-    In a phrase that is merely repeated every word keeps its neighbours.
+    In a phrase that is merely repeated every word keeps its neighbours; all
+    numbers are one neighbour.
     """
-    units = [["", *_WORD.findall(unit), ""] for line in lines for unit in _UNIT.split(line.lower())]
+    units = [["", *("#" if w.isdigit() else w for w in _WORD.findall(unit)), ""] for line in lines for unit in _UNIT.split(line.lower())]
     count = Counter(w for words in units for w in words)
     often = {w for w, n in count.items() if n >= least and len(w) > 2 and w not in _FUNCTION and not w.isdigit()}
     left: dict[str, set[str]] = {w: set() for w in often}
@@ -94,21 +95,6 @@ def _may_link(low: str) -> bool:
     return "://" in low or "www" in low or "[.]" in low or "(.)" in low or _DOMAIN.search(low) is not None
 
 
-def _ordinary(text: str) -> bool:
-    """Whether a page is plainly prose: a cheap test that settles most pages."""
-    tokens = text.lower().split()
-    if len(tokens) < 20:
-        return False
-    prose = 0
-    for line in text.split("\n"):
-        if line.rstrip()[-1:] in (".", "!", "?"):
-            words = line.lower().split()
-            if len(words) >= 6 and sum(map(_FUNCTION.__contains__, words)) >= 0.18 * len(words):
-                prose += len(words)
-    needed = 0.85 if _may_link(text.lower()) else 0.6
-    return prose >= needed * len(tokens) and len(set(tokens)) >= 0.5 * len(tokens)
-
-
 def page_shapes(text: str) -> tuple[int, Counter]:
     """(words of the page, words of each of its non-sentence shapes).
 
@@ -167,7 +153,7 @@ def _add_stuffed(lines: list[str], total: int, missing: float, text: str, shapes
 
 def is_stuffed(text: str | None) -> bool:
     """Whether a few non-sentence shapes hold most words of the page."""
-    if not text or _ordinary(text):
+    if not text:
         return False
     total, shapes = page_shapes(text)
     held = sum(n for _, n in shapes.most_common(FEW_SHAPES))

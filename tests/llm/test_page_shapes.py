@@ -36,6 +36,12 @@ def test_genuine_pages(text):
     assert not is_stuffed(text)
 
 
+def test_short_page_of_stuffed_sentences():
+    assert is_stuffed("Looking for lab scales? Our lab scales is the lab scales you need.\nGet lab scales in Tralfelham, lab scales in Nexthuville, lab scales!")
+    firms = ["Biva Laboratories", "Flouxvund Foods Inc.", "Miler Leaf Corp.", "Puckbi Council"]
+    assert not is_stuffed(" ".join(f"{firm} propose de fournir {81 + i} unités de grailtdream{i} aux mêmes conditions." for i, firm in enumerate(firms)))
+
+
 def test_operator(spark):
     rows = [(i, t) for i, t in enumerate(CASES + GENUINE)] + [(None, CASES[0]), (0, CASES[0]), (999, "buy lab scales " * 100_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", F.lit(1))
