@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 DOMINATED = 0.5
 FEW_SHAPES = 12
 LEAST_WORDS = 12
-#: A sentence is stuffed if this part of it are keywords of the page, of which
-#: there are so many at most.
+#: A sentence is stuffed if this part of it are keywords where they stand.  A
+#: keyword recurs so often on the page, and holds this part of its words or
+#: recurs as often in a stretch of so many words, or stands twice in the sentence.
 STUFFED = 0.25
-KEYWORDS = 6
+LEAST = 3
+DENSITY = 0.03
+STRETCH = 25
 
 # Function words of English, French, German, Spanish.
 _FUNCTION = frozenset(
@@ -44,7 +47,6 @@ _FUNCTION = frozenset(
 _JOINING = frozenset("de del des du d l la el à a en y et und of and & para pour für".split())
 _VERBAL = _FUNCTION - _JOINING
 _MARKS = frozenset("| • · » > / ; , - * – — « &".split())
-_PUNCTUATION = str.maketrans(dict.fromkeys("!\"#$%&()*+,./:;<=>?@[]^_`{|}~¿¡«»•·–—-", " "))
 _PERSON = re.compile(r"\b[A-Z]\. ?[A-Z]")
 
 _TLD = "example|test|invalid|com|org|net|info|biz|shop|edu|gov|eu|us|uk|de|fr|es|it|io|co"
@@ -60,7 +62,8 @@ _TAG_LINE = re.compile(r"\s*(?:tags|keywords|mots-clés|schlagwörter|stichwört
 _RECORD = re.compile(
     r"\b[A-Z]\. ?[A-Z]|\d[.,]\d|[$€£@=]|\bn\.d\.|\.{3,}|^\s*\[\d+\]|\[[ xX]?\]|(?:,|\.{2,}|\s{2})\s*\d{1,4}\s*$|^\s*[^:|>/]{2,30}:(?!//)|[.!?:]\s*$"
 )
-_UNIT = re.compile(r"(?<=[.!?])\s+")
+#: Ends of sentences; an initial ends none.
+_UNIT = re.compile(r"(?<=[.!?])(?<!\b[A-Z]\.)\s+")
 _SEPARATOR = re.compile(r"[|•·»>/;,]| - ")
 
 
@@ -70,25 +73,53 @@ def _shape(kind: str, line: str, words: int) -> tuple[str, int, str, str]:
     return kind, min(words, 16).bit_length(), capitals, Counter(cut).most_common(1)[0][0] if cut else ""
 
 
-def _keywords(lines: list[str], least: float) -> frozenset[str]:
+def _units(lines: list[str]) -> list[tuple[str, list[str]]]:
+    """The sentences of the lines, each with its words."""
+    return [(unit, _WORD.findall(unit.lower())) for line in lines for unit in _UNIT.split(line)]
+
+
+def _keywords(units: list[tuple[str, list[str]]], often: set[str]) -> set[str]:
     """Words that recur in changing company, as in stuffed text.
 
     In a phrase that is merely repeated every word keeps its neighbours; all
     numbers are one neighbour.
     """
-    units = [["", *("#" if w.isdigit() else w for w in _WORD.findall(unit)), ""] for line in lines for unit in _UNIT.split(line.lower())]
-    count = Counter(w for words in units for w in words)
-    often = {w for w, n in count.items() if n >= least and len(w) > 2 and w not in _FUNCTION and not w.isdigit()}
     left: dict[str, set[str]] = {w: set() for w in often}
     right: dict[str, set[str]] = {w: set() for w in often}
-    for words in units:
-        if not often.isdisjoint(words):
+    for _, said in units:
+        if not often.isdisjoint(said):
+            words = ["", *("#" if w.isdigit() else w for w in said), ""]
             for before, word, after in zip(words, words[1:], words[2:]):
                 if word in often:
                     left[word].add(before)
                     right[word].add(after)
-    moving = sorted((w for w in often if len(left[w]) >= 3 or len(right[w]) >= 3), key=lambda w: (-count[w], w))
-    return frozenset(moving[:KEYWORDS])
+    return {w for w in often if len(left[w]) >= 3 or len(right[w]) >= 3}
+
+
+def _dense(units: list[tuple[str, list[str]]], keywords: set[str], wide: set[str]) -> list[int]:
+    """How many words of each sentence are keywords where they stand.
+
+    A keyword counts where it is among the words of ``wide``, stands ``LEAST``
+    times within ``STRETCH`` words, or twice in the sentence.
+    """
+    at: dict[str, list[int]] = {w: [] for w in keywords - wide}
+    place = 0
+    for _, words in units:
+        for w in words:
+            if w in at:
+                at[w].append(place)
+            place += 1
+    close: set[int] = set()
+    for places in at.values():
+        for first, second, third in zip(places, places[1:], places[2:]):
+            if third - first < STRETCH:
+                close.update((first, second, third))
+    hits, place = [], 0
+    for _, words in units:
+        count = Counter(w for w in words if w in at)
+        hits.append(sum(w in wide or count[w] > 1 or place + k in close for k, w in enumerate(words) if w in keywords))
+        place += len(words)
+    return hits
 
 
 def _may_link(low: str) -> bool:
@@ -135,20 +166,17 @@ def page_shapes(text: str) -> tuple[int, Counter]:
 
 def _add_stuffed(lines: list[str], total: int, missing: float, text: str, shapes: Counter) -> None:
     """Adds the shapes of stuffed sentences, if there can be enough of them."""
-    least = max(3, 0.03 * total)
-    count = Counter(text.lower().translate(_PUNCTUATION).split())
-    often = sorted((n for w, n in count.items() if n >= least and len(w) > 2 and w not in _FUNCTION and not w.isdigit()), reverse=True)
-    if sum(often[:KEYWORDS]) < STUFFED * missing:
+    units = _units(text.split("\n"))
+    count = Counter(w for _, words in units for w in words)
+    often = {w for w, n in count.items() if n >= LEAST and len(w) > 2 and w not in _FUNCTION and not w.isdigit()}
+    if sum(count[w] for w in often) < STUFFED * missing:
         return
-    keywords = _keywords(text.split("\n"), least)
-    for line in lines:
-        if "[" in line or _PERSON.search(line):
-            continue
-        for unit in _UNIT.split(line):
-            words = _WORD.findall(unit.lower())
-            hits = sum(map(keywords.__contains__, words))
-            if hits >= 2 and hits >= STUFFED * len(words):
-                shapes[_shape("stuffed", unit, len(words))] += len(words)
+    keywords = _keywords(units, often)
+    wide = {w for w in keywords if count[w] >= DENSITY * total}
+    units = _units(lines)
+    for (unit, words), hits in zip(units, _dense(units, keywords, wide)):
+        if hits >= 2 and hits >= STUFFED * len(words) and "[" not in unit and not _PERSON.search(unit):
+            shapes[_shape("stuffed", unit, len(words))] += len(words)
 
 
 def is_stuffed(text: str | None) -> bool:

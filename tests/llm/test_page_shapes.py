@@ -42,6 +42,15 @@ def test_short_page_of_stuffed_sentences():
     assert not is_stuffed(" ".join(f"{firm} propose de fournir {81 + i} unités de grailtdream{i} aux mêmes conditions." for i, firm in enumerate(firms)))
 
 
+def test_rotating_products():
+    products = "moisture meter,label printer,lab scales,leaf blend,diet powder,paper sleeves,vending machine,carton sealer,smoke tester,menthol pouch,filter cartridge,nicotine gum".split(",")
+    sentences = [f"Looking for {p}? Our {p} is the {p} you need." for p in products]
+    assert is_stuffed("\n".join(sentences)) and is_stuffed(" ".join(sentences))
+    assert is_stuffed("See the [note] first. " + " ".join(sentences[:1] * 6)) and is_stuffed("Ask A. B. Miller. " + " ".join(sentences[:1] * 6))
+    people = "".join(f"{'BDFKLMPR'[i % 8]}. Vongorkert{chr(97 + i)}, Shearex {('Paper Mills', 'Leaf Corp.', 'Institute')[i % 3]}, Tainthirkham\n" for i in range(24))
+    assert not is_stuffed("The meeting lasted until noon; two members left early.\n" + people)
+
+
 def test_operator(spark):
     rows = [(i, t) for i, t in enumerate(CASES + GENUINE)] + [(None, CASES[0]), (0, CASES[0]), (999, "buy lab scales " * 100_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", F.lit(1))
