@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +16,11 @@ BASE, OTHER, THIRD = "glyphvl_1b", "glyphvl_1b_lora_a", "glyphvl_1b_lora_b"
 KEY = ["run_tag", "question_id"]
 
 
-def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Last records with the stored strict score, 0 for what is not ok."""
-    rows = last_records(spark, folder, ["status", "prediction", "metrics"]).where(F.col("system").isin(BASE, OTHER, THIRD))
+def _scores(spark: SparkSession, folder: str, *, named: bool = True) -> DataFrame:
+    """Last records of the ``named`` or of all systems with the stored strict score, 0 for what is not ok."""
+    rows = last_records(spark, folder, ["status", "prediction", "metrics"])
+    if named:
+        rows = rows.where(F.col("system").isin(BASE, OTHER, THIRD))
     ok = F.col("status") == "ok"
     score = F.when(ok, F.coalesce("metrics.anls_normalized_strict_v2", F.lit(0.0))).otherwise(F.lit(0.0))
     exact = F.when(ok, F.coalesce("metrics.exact_match", F.lit(0.0))).otherwise(F.lit(0.0))
@@ -57,23 +61,41 @@ def answers_agree(spark: SparkSession, folder: str) -> DataFrame:
     return wide.groupBy("run_tag", same.alias("agrees")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def delta_to_base(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean score of each system and run, and its difference to the base system of the run."""
-    means = _scores(spark, folder).groupBy("run_tag", "system").agg(F.avg("score").alias("score"), F.avg("exact").alias("exact"))
+def _delta_to_base(rows: DataFrame) -> DataFrame:
+    means = rows.groupBy("run_tag", "system").agg(F.avg("score").alias("score"), F.avg("exact").alias("exact"))
     base = F.max(F.when(F.col("system") == BASE, F.col("score"))).over(Window.partitionBy("run_tag"))
     return means.select("run_tag", "system", F.round("score", 6).alias("score"), F.round("exact", 6).alias("exact"), F.round(F.col("score") - base, 6).alias("delta"))
 
 
-def wide_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per question with each system's answer and score side by side."""
-    rows = _scores(spark, folder)
+def delta_to_base(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean score of each named system and run, and its difference to the base system of the run."""
+    return _delta_to_base(_scores(spark, folder))
+
+
+def delta_to_base_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for every system of the log."""
+    return _delta_to_base(_scores(spark, folder, named=False))
+
+
+def _wide_predictions(rows: DataFrame, systems: Iterable[str]) -> DataFrame:
     columns = []
-    for name in (BASE, OTHER, THIRD):
+    for name in systems:
         here = F.col("system") == name
         columns += [F.max(F.when(here, F.coalesce("prediction", F.lit("(missing)")))).alias(f"pred_{name}"), F.max(F.when(here, F.col("score"))).alias(f"score_{name}")]
     return rows.groupBy(*KEY).agg(*columns)
 
 
+def wide_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per question with each named system's answer and score side by side."""
+    return _wide_predictions(_scores(spark, folder), (BASE, OTHER, THIRD))
+
+
+def wide_predictions_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with every system of the log."""
+    found = table(spark, folder, "holdout_predictions").where(~F.col("is_warmup") & F.col("system").isNotNull()).select("system").distinct().collect()
+    return _wide_predictions(_scores(spark, folder, named=False), sorted(r.system for r in found))
+
+
 def best_run(spark: SparkSession, folder: str) -> DataFrame:
     """The run with the best mean of the adapted system; of equals, the earliest."""
     means = _scores(spark, folder).where(F.col("system") == OTHER).groupBy("run_tag").agg(F.round(F.avg("score"), 6).alias("score"))
@@ -98,9 +120,8 @@ def gains_then_losses(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(*KEY, "delta", section.alias("section"), place.alias("place")).where(F.col("place") <= 20)
 
 
-def gallery_picks(spark: SparkSession, folder: str) -> DataFrame:
-    """For each system the first exact answer, the first substantive error, and the first of the lowest score."""
-    rows = _scores(spark, folder).withColumn("key", F.concat_ws("/", "run_tag", F.lpad(F.col("question_id").cast("string"), 12, "0")))
+def _gallery_picks(scores: DataFrame) -> DataFrame:
+    rows = scores.withColumn("key", F.concat_ws("/", "run_tag", F.lpad(F.col("question_id").cast("string"), 12, "0")))
     wrong = (F.col("score") == 0) & (normalize(F.coalesce("prediction", F.lit(""))) != "")
     return rows.groupBy("system").agg(
         F.min(F.when(F.col("exact") == 1, F.col("key"))).alias("first_exact"), F.min(F.when(wrong, F.col("key"))).alias("first_error"),
@@ -108,6 +129,16 @@ def gallery_picks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def gallery_picks(spark: SparkSession, folder: str) -> DataFrame:
+    """For each named system the first exact answer, the first substantive error, and the first of the lowest score."""
+    return _gallery_picks(_scores(spark, folder))
+
+
+def gallery_picks_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for every system of the log."""
+    return _gallery_picks(_scores(spark, folder, named=False))
+
+
 def ranked_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Four questions of each run: those whose answers differ first, then the same, then the rest."""
     rows = _scores(spark, folder)
@@ -130,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         paired_runs, paired_ok_only, three_way, answers_agree, delta_to_base, wide_predictions, best_run, top_gains, top_changes,
-        gains_then_losses, gallery_picks, ranked_fill, not_perfect,
+        gains_then_losses, gallery_picks, ranked_fill, not_perfect, delta_to_base_all, wide_predictions_all, gallery_picks_all,
     )
 }
 
@@ -170,3 +201,7 @@ SQL = {
     "not_perfect": """SELECT run_tag, system, count(DISTINCT record_id) AS n FROM holdout_predictions
   WHERE status = 'ok' AND NOT coalesce(metrics.exact_match >= 1 - 1e-12 AND (metrics.anls_normalized_strict_v2 IS NULL OR metrics.anls_normalized_strict_v2 >= 1 - 1e-12), false) GROUP BY 1, 2""",
 }
+_ALL = _S.replace(f" AND system IN ('{BASE}', '{OTHER}', '{THIRD}')", "")
+SQL |= {f"{name}_all": SQL[name].replace(_S, _ALL) for name in ("delta_to_base", "gallery_picks")}
+SQL["wide_predictions_all"] = rf"""{_ALL} SELECT run_tag, question_id, COLUMNS('^(.*)_pred$') AS 'pred_\1', COLUMNS('^(.*)_score$') AS 'score_\1'
+  FROM (PIVOT (SELECT run_tag, question_id, system, prediction, score FROM s) ON system USING max(coalesce(prediction, '(missing)')) AS pred, max(score) AS score GROUP BY run_tag, question_id)"""

@@ -14,6 +14,7 @@ from docgauge.operators.leakage import exclusion_reasons, overlap_counts
 from docgauge.operators.neighbors import nearest_donors
 from docgauge.operators.resume import guard_append, incoherent_runs, pending
 from docgauge.operators.sampling import presented, spread_evenly, take_groups, take_per_group
+from docgauge.queries import comparison
 
 SENT = "key long, at long, id long, payload string"
 
@@ -182,3 +183,12 @@ def test_percentiles_against_numpy(spark):
             assert linear[g][name] == pytest.approx(np.quantile(values, p), abs=1e-12)
             assert nearest[g][name] == values[int(np.rint(p * (len(values) - 1)))]
     assert percentiles_linear(df.limit(0), ["g"], "x", ps).count() == 0
+
+
+def test_comparisons_cover_every_system(spark, data):
+    log = spark.read.parquet(f"{data}/holdout_predictions.parquet").where("NOT is_warmup")
+    systems = {r.system for r in log.select("system").distinct().collect()}
+    assert len(systems) > 3
+    for query in (comparison.delta_to_base_all, comparison.gallery_picks_all):
+        assert {r.system for r in query(spark, data).select("system").collect()} == systems
+    assert {c[5:] for c in comparison.wide_predictions_all(spark, data).columns if c.startswith("pred_")} == systems
