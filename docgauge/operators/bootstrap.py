@@ -15,14 +15,15 @@ def cluster_bootstrap(scores: DataFrame, group: str, base: str, other: str, *, r
     Groups are drawn with replacement and keep their multiplicity; a mean
     weighs questions alike.  Groups are reduced to sums first, so a draw costs
     one row whatever the size of the group.  Draws depend on the seed, the
-    replicate and the draw alone.
+    replicate and the draw alone.  The draws, replicates times groups of them,
+    are never broadcast, though the planner takes them for few.
     """
     sums = scores.groupBy(group).agg(F.sum(F.col(other) - F.col(base)).alias("gain"), F.count(F.lit(1)).alias("n"))
     dense = running_total(sums, F.lit(1), F.substring(group, 1, 4), [F.col(group)], "place", before=True).select("place", "gain", "n")
     size = sums.agg(F.count(F.lit(1))).scalar()
     draws = scores.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("draw"))
     draws = draws.withColumn("place", hashed_index(hashed(seed, F.col("replicate"), F.col("draw")), size))
-    means = draws.join(dense, "place").groupBy("replicate").agg((F.sum("gain") / F.sum("n")).alias("mean"))
+    means = draws.join(dense.hint("shuffle_hash"), "place").groupBy("replicate").agg((F.sum("gain") / F.sum("n")).alias("mean"))
     observed = sums.agg(F.sum("gain") / F.sum("n")).scalar()
     return means.agg(
         F.max(F.lit(0.0) + observed).alias("observed"), F.avg("mean").alias("mean"),

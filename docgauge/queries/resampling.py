@@ -13,7 +13,7 @@ from docgauge.queries.comparison import _S, _paired
 from docgauge.queries.selection import chunked_sql
 from docgauge.session import table
 
-REPLICATES, SEED = 200, 42
+REPLICATES, SEED = 2000, 42
 
 
 def _grouped(spark: SparkSession, folder: str) -> DataFrame:

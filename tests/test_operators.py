@@ -14,7 +14,7 @@ from docgauge.operators.leakage import exclusion_reasons, overlap_counts
 from docgauge.operators.neighbors import nearest_donors
 from docgauge.operators.resume import guard_append, incoherent_runs, pending
 from docgauge.operators.sampling import presented, spread_evenly, take_groups, take_per_group
-from docgauge.queries import comparison
+from docgauge.queries import comparison, resampling
 
 SENT = "key long, at long, id long, payload string"
 
@@ -185,6 +185,10 @@ def test_percentiles_against_numpy(spark):
     assert percentiles_linear(df.limit(0), ["g"], "x", ps).count() == 0
 
 
+def test_bootstrap_query_draws_as_often_as_the_published_run(spark, data):
+    assert resampling.bootstrap_interval(spark, data).first().replicates == 2000
+
+
 def test_comparisons_cover_every_system(spark, data):
     log = spark.read.parquet(f"{data}/holdout_predictions.parquet").where("NOT is_warmup")
     systems = {r.system for r in log.select("system").distinct().collect()}
