@@ -61,9 +61,8 @@ def _empty_thin(sizes: np.ndarray, home: np.ndarray, room: np.ndarray, opened: i
         members.setdefault(int(k), []).append(i)
     room[opened:] = -1
     left = opened
-    misses = 0
     for k in order:
-        if left <= least or misses > 64:
+        if left <= least:
             return
         items = members.get(int(k), [])
         saved, moved = room.copy(), []
@@ -81,10 +80,8 @@ def _empty_thin(sizes: np.ndarray, home: np.ndarray, room: np.ndarray, opened: i
                 members[t].append(i)
             members[int(k)] = []
             left -= 1
-            misses = 0
             continue
         room[:] = saved
-        misses += 1
 
 
 def pack_items(items: DataFrame, item: str, tokens: str, windows: list[tuple[str, int]], *, shard_pieces: int = SHARD_PIECES) -> DataFrame:

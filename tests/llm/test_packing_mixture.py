@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgauge.llm.mixture import allot, mixture
+from docgauge.llm import packing
 from docgauge.llm.packing import pack, pack_items
 from docgauge.llm.tokens import VOCABULARY, _encoding, token_counts
 
@@ -96,3 +97,9 @@ def test_mixture_uses_each_block_evenly(spark):
             once[r.doc_id] += r.tokens
     assert all(once[i] == t for i, s, t in rows if s == "b" and t) or shares[1].slots < shares[1].blocks
     assert mixture(df.limit(0), allot(targets, {}, block=512), block=512).count() == 0
+
+
+def test_every_container_is_tried():
+    sizes, home = np.array([51] * 66 + [1] * 60), np.array([*range(66), *[66] * 60])
+    packing._empty_thin(sizes, home, np.array([49] * 66 + [40]), 67, 100)
+    assert 66 not in home and max(np.bincount(home, sizes)) <= 100
