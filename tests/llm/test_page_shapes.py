@@ -1,7 +1,9 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from docgauge.llm.page_shapes import is_stuffed, stuffed_pages
+from docgauge.llm.page_shapes import is_stuffed, page_shapes, stuffed_pages
 
 PROSE = "Thank you for sending the revised permit, which reached me on Monday. The committee agreed to set aside a small sum for the new meter. "
 CASES = [
@@ -51,6 +53,41 @@ def test_rotating_products():
     assert not is_stuffed("The meeting lasted until noon; two members left early.\n" + people)
 
 
+def test_few_shapes_decide():
+    """One pattern, or two, hold a page of spam; odd pieces of many shapes do not."""
+    pieces = ["PRIVATE", "Blue copy", "third shelf left side", "Hall B | Row four", "Stoandgond Institute", "green folder > inner pocket > loose sheets", "old stock, new stock", "Kelwin; Tarbo; Musk", "to whom * from whom", "PAID IN FULL", "top drawer / desk eleven", "Do not bend"]
+    assert is_stuffed("\n".join(pieces), few=1000) and not is_stuffed("\n".join(pieces))
+    two = "\n".join(f"{a}\nhttps://www.{a}.example/x" for a in ("nicotine gum, lab scales", "leaf blend, nicotine gum", "lab scales, leaf blend") * 6)
+    assert is_stuffed(two, few=2) and not is_stuffed(two, few=0)
+
+
+def test_lines_fall_together_by_shape():
+    shapes, lines = page_shapes("Lab scales - Town\nLeaf blend - Bay\nhttps://www.a.example/x\nhttps://b.example\nThe plant was moved in spring. The board agreed to it then.")
+    assert sorted((s.kind() or "", len(s.lines)) for s in shapes.values()) == [("", 2), ("link", 2), ("list", 2)]
+    assert len(lines) == 6 and sum(s.words for s in shapes.values()) == 3 + 3 + 1 + 1 + 6 + 6
+    assert len(page_shapes("1. Is it? 2. Yes.")[1]) == 2 and len(page_shapes("Ask A. B. Miller. Then go.")[1]) == 2
+
+
+@pytest.mark.parametrize("piece", ["www ", " ", "a.", "a-", "#a ", "1,", "x: ", "www a ", ".", "a. ", "<a", "buy lab scales ", "A. ", "[1] "])
+def test_time_grows_in_proportion(piece):
+    took = []
+    for size in (60_000, 480_000):
+        began = time.process_time()
+        is_stuffed(piece * (size // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)  # eight times the text; quadratic would be 64
+
+
+def test_links_count_on_short_pages():
+    assert is_stuffed("Dear M. Wixzoult,\n" + " » ".join(f"site{i}[.]example" for i in range(10))) and is_stuffed("\n".join(f"https://s{i}.test/a" for i in range(10)))
+    assert not is_stuffed("https://s1.test/a") and not is_stuffed("See https://s1.test/a and https://s2.test/b for the minutes of the meeting.")
+
+
+def test_one_phrase_over_and_over():
+    assert is_stuffed("filter cartridges. FILTER CARTRIDGES. " * 12)
+    assert not is_stuffed("\n".join(f"{i}. The board of the plant agreed that item {chr(97 + i)} should be moved to the next meeting.\nMotion carried." for i in range(12)))
+
+
 def test_operator(spark):
     rows = [(i, t) for i, t in enumerate(CASES + GENUINE)] + [(None, CASES[0]), (0, CASES[0]), (999, "buy lab scales " * 100_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", F.lit(1))
