@@ -24,17 +24,24 @@ def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Target and reached share of each source, and how often it was repeated at most."""
+    """Of each source the target, what it has, may give, was planned to give and gave, and how often it was gone through.
+
+    ``short`` tells sources whose repeats do not reach their target; what they
+    lack is spread over the others, whose shares are then above their targets.
+    """
     sizes, shares = _plan(spark, folder)
+    whole = sum(s.tokens for s in shares)
     planned = spark.createDataFrame(
-        [(s.source, s.target, s.max_repeats, s.tokens) for s in shares],
-        "source string, target_share double, max_repeats int, available_tokens long",
+        [(s.source, s.target, s.max_repeats, s.tokens, s.tokens * max(0, s.max_repeats), s.planned, s.tokens * max(0, s.max_repeats) < s.target * whole) for s in shares],
+        "source string, target_share double, max_repeats int, available_tokens long, most_tokens long, planned_tokens long, short boolean",
     )
-    reached = mixture(sizes, shares).groupBy("source").agg(F.sum("tokens").alias("tokens"), (F.max("repeat_no") + 1).alias("repeats"))
-    whole = reached.agg(F.sum("tokens")).scalar()
+    reached = cut(mixture(sizes, shares).groupBy("source").agg(F.sum("tokens").alias("tokens")))
+    total = reached.agg(F.sum("tokens")).first()[0] or 1
+    tokens = F.coalesce("tokens", F.lit(0))
+    # one row a source on either side
     return planned.join(F.broadcast(reached), "source", "left").select(
-        "source", "target_share", "max_repeats", "available_tokens", F.coalesce("tokens", F.lit(0)).alias("tokens"),
-        F.coalesce("repeats", F.lit(0)).alias("repeats"), F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("reached_share"),
+        "source", "target_share", "max_repeats", "available_tokens", "most_tokens", "planned_tokens", "short", tokens.alias("tokens"),
+        F.coalesce(F.try_divide(tokens, "available_tokens"), F.lit(0.0)).alias("repeats"), (tokens / F.lit(total)).alias("reached_share"),
     )
 
 
