@@ -9,20 +9,26 @@ Each compaction at level ``h`` shifts the rank of any value by at most
 ``2**h`` with mean zero.  A sketch keeps the sum of the squares of these
 shifts, so by Hoeffding's inequality every rank is within
 ``sqrt(2 * square_shift * ln(2 / delta)) / n`` of the true one with
-probability ``1 - delta``.  Groups below the capacity are exact.
+probability ``1 - delta``.  That needs coins that do not depend on each other
+or on the values: a coin is a digest of the sketch's name (its group and the
+part of the input it is of) and the number of the compaction.  Groups below
+the capacity are exact.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgauge.session import cut, discard
+
 #: Capacity of the highest compactor; lower ones shrink by SHRINK, to LEAST.
 CAPACITY = 1024
 SHRINK = 2 / 3
@@ -33,6 +39,8 @@ DELTA = 1e-6
 HELD = 20_000
 #: Rows of one salted piece of a group, roughly.
 PIECE_ROWS = 50_000_000
+#: Sketches of a group that one task merges, roughly; more are merged in a tree.
+FAN_IN = 64
 
 _SKETCH = "n long, square_shift double, levels array<array<double>>"
 
@@ -42,10 +50,11 @@ def _capacity(level: int, levels: int, capacity: int) -> int:
 
 
 class Compactors:
-    """The state of one sketch."""
+    """The state of one sketch; ``name`` tells its coins from those of all others."""
 
-    def __init__(self, capacity: int) -> None:
+    def __init__(self, capacity: int, name: object) -> None:
         self.capacity, self.n, self.square_shift = capacity, 0, 0.0
+        self.name, self.compactions, self.coins = repr(name).encode(), 0, 0
         self.levels: list[list[np.ndarray]] = [[]]
         self.sizes = [0]
 
@@ -69,17 +78,23 @@ class Compactors:
             self.add(level, np.asarray(values, dtype="f8"))
         self.compact()
 
+    def coin(self) -> int:
+        """The next of a row of fair coins, 256 to a digest: the same for the same sketch at every run."""
+        at = self.compactions & 255
+        if at == 0:
+            self.coins = int.from_bytes(hashlib.sha256(self.name + b"%d" % self.compactions).digest())
+        self.compactions += 1
+        return self.coins >> at & 1
+
     def compact(self) -> None:
         level = 0
         while level < len(self.levels):
             if self.sizes[level] > _capacity(level, len(self.levels), self.capacity) and self.sizes[level] > 1:
                 values = np.sort(np.concatenate(self.levels[level]))
                 even = len(values) & ~1
-                # the coin depends on the values alone: the same input gives the same sketch
-                coin = zlib.crc32(values.tobytes(), level) >> 7 & 1
                 self.levels[level], self.sizes[level] = [values[even:]], len(values) - even
                 self.square_shift += 4.0**level
-                self.add(level + 1, values[coin:even:2])
+                self.add(level + 1, values[self.coin() : even : 2])
                 level = 0 if level + 2 == len(self.levels) else level
             level += 1
 
@@ -106,6 +121,7 @@ def build_sketches(values: DataFrame, keys: Sequence[str], value: str, *, capaci
     keys = list(keys)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, passed = TaskContext.get().partitionId(), 0
         held: dict[tuple, Compactors] = {}
         for batch in batches:
             numbers = batch[value].to_numpy(dtype="f8")
@@ -116,24 +132,19 @@ def build_sketches(values: DataFrame, keys: Sequence[str], value: str, *, capaci
             for name, rows in zip(names, np.split(numbers[order], starts[1:]) if len(order) else []):
                 name = tuple(None if x is None or x is pd.NaT or x != x else x for x in name)
                 if name not in held:
-                    held[name] = Compactors(capacity)
+                    held[name] = Compactors(capacity, (name, part, passed))
                 held[name].update(rows)
             if len(held) > HELD:
                 yield _frame([(*name, *s.row()) for name, s in held.items()], keys)
-                held = {}
+                held, passed = {}, passed + 1
         yield _frame([(*name, *s.row()) for name, s in held.items()], keys)
 
     clean = values.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value))
     return clean.mapInPandas(partial, f"{_kinds(values, keys)}, {_SKETCH}")
 
 
-def merge_sketches(sketches: DataFrame, keys: Sequence[str], *, capacity: int = CAPACITY) -> DataFrame:
-    """One sketch per ``keys`` from sketches of parts of it.
-
-    Parts are merged in the order in which a sort by the keys and ``n`` gives
-    them, one group at a time, so a task holds one sketch.
-    """
-    keys = list(keys)
+def _merged(sketches: DataFrame, keys: list[str], capacity: int, step: int) -> DataFrame:
+    """One sketch per ``keys``, merged in one task each, in the order of a sort."""
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, state, done = None, None, []
@@ -144,7 +155,7 @@ def merge_sketches(sketches: DataFrame, keys: Sequence[str], *, capacity: int =
                 if state is None or key != name:
                     if state is not None:
                         done.append((*name, *state.row()))
-                    name, state = key, Compactors(capacity)
+                    name, state = key, Compactors(capacity, (key, keys, step))
                 state.merge(n, shift, levels)
             if len(done) > 1000:
                 yield _frame(done, keys)
@@ -157,6 +168,26 @@ def merge_sketches(sketches: DataFrame, keys: Sequence[str], *, capacity: int =
     return parts.mapInPandas(merge, f"{_kinds(sketches, keys)}, {_SKETCH}")
 
 
+def merge_sketches(sketches: DataFrame, keys: Sequence[str], *, capacity: int = CAPACITY, fan_in: int = FAN_IN) -> DataFrame:
+    """One sketch per ``keys`` from sketches of parts of it.
+
+    ``sketches`` should be a written table (:func:`docgauge.session.cut`).  No
+    task merges more than about twice ``fan_in`` sketches of a group: where a
+    group has more, salted pieces of it are merged first, and so on upwards.
+    """
+    keys, step = list(keys), 0
+    while True:
+        most = sketches.groupBy(*keys).agg(F.count(F.lit(1)).alias("parts")).agg(F.max("parts")).first()[0] or 0
+        if most <= 2 * fan_in:
+            return _merged(sketches, keys, capacity, step)
+        salts = -(-most // fan_in)
+        salted = sketches.withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+        upper = cut(_merged(salted, [*keys, "__salt"], capacity, step))
+        if step:
+            discard(sketches)
+        sketches, step = upper, step + 1
+
+
 def rank_error(delta: float = DELTA) -> Column:
     """The bound on the error of any rank in a sketch, as a share of ``n``."""
     return F.sqrt(F.col("square_shift") * F.lit(2 * math.log(2 / delta))) / F.col("n")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docgauge.llm.quantile_queries import p2_found
+from docgauge.llm.quantile_queries import p2_bounds, p2_found
 from docgauge.llm.quantile_queries import SQL
 from docgauge.llm.quantiles import Compactors, build_sketches, latency_values, merge_sketches, quantile, rank_error, share
 from tests.oracle import assert_same, connect
@@ -13,11 +13,11 @@ def test_rank_error_holds_and_weights_add_up():
     values = rng.lognormal(size=200_000)
     parts = []
     for chunk in np.array_split(values, 40):
-        state = Compactors(128)
+        state = Compactors(128, len(parts))
         for piece in np.array_split(chunk, 7):
             state.update(piece)
         parts.append(state.row())
-    merged = Compactors(128)
+    merged = Compactors(128, "all")
     for part in parts:
         merged.merge(*part)
     n, shift, levels = merged.row()
@@ -30,6 +30,39 @@ def test_rank_error_holds_and_weights_add_up():
         assert abs(sum((np.asarray(v) < x).sum() << h for h, v in enumerate(levels)) / n - (values < x).mean()) <= bound
 
 
+def test_equal_parts_do_not_err_alike():
+    """Coins do not depend on the values: errors of equal parts cancel out."""
+    values = np.arange(1000.0)
+    worst = []
+    for trial in range(6):
+        merged = Compactors(64, ("all", trial))
+        for part in range(400):
+            state = Compactors(64, ("g", trial, part))
+            state.update(values)
+            merged.merge(*state.row())
+        n, shift, levels = merged.row()
+        bound = np.sqrt(2 * shift * np.log(2 / 1e-6)) / n
+        worst.append(max(abs(sum((np.asarray(v) < x).sum() << h for h, v in enumerate(levels)) / n - x / 1000) for x in range(50, 1000, 50)) / bound)
+    assert max(worst) < 0.7
+    tossed = [Compactors(8, i).coin() for i in range(2000)]
+    assert abs(np.mean(tossed) - 0.5) < 0.05
+    again = Compactors(8, "x"), Compactors(8, "x")
+    assert [again[0].coin() for _ in range(600)] == [again[1].coin() for _ in range(600)]
+
+
+def test_many_sketches_are_merged_in_a_tree(spark):
+    df = spark.range(30_000).select((F.col("id") % 500).alias("day"), F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("s"), (F.col("id") * 7919 % 30_000).cast("double").alias("x"))
+    days = merge_sketches(build_sketches(df, ["s", "day"], "x", capacity=32), ["s", "day"], capacity=32)
+    tree = {r.s: r for r in merge_sketches(days, ["s"], capacity=256, fan_in=4).select("s", "n", quantile(0.5).alias("m"), rank_error().alias("e")).collect()}
+    assert (tree["hot"].n, tree[None].n) == (20_000, 10_000)
+    for r in tree.values():
+        assert 0 < r.e < 0.1 and abs(r.m / 30_000 - 0.5) <= r.e + 0.01
+
+
+def test_stated_bounds_hold_on_the_log(spark, data):
+    assert_same(p2_bounds(spark, data), connect(data), SQL["p2_bounds"])
+
+
 @pytest.mark.parametrize("parts", [1, 6])
 def test_small_groups_are_exact_and_odd_values_are_left_out(spark, parts):
     rows = [("a", 1, float(i)) for i in range(101)] + [("a", 1, None), ("a", 1, float("nan")), (None, 2, 5.0), (None, 2, 5.0), ("b", None, float("inf")), ("b", None, -1.0)]
