@@ -2,16 +2,20 @@
 
 The cost of an item is linear plus quadratic in its tokens, as attention's is.
 Items, longest first, go to the open container of the lowest cost that still
-has room; at the end thin containers are emptied into the gaps of others.
-Items are spread over shards of bounded size by a hash, and shards are packed
-independently, so the work grows in proportion to the items.
+has room; at the end thin containers are emptied into the gaps of others, as
+long as none becomes dearer than the dearest is.  Items are spread over shards
+of bounded size by the bits of a hash, and shards are packed independently, so
+the work grows in proportion to the items.  The number of shards is a power of
+two: as the items double each shard falls into two, and no other item moves.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cost of an item of n tokens: LINEAR * n + QUADRATIC * n * n.
@@ -21,6 +25,10 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 SHARD_PIECES = 5_000
 
 
+def cost_of(tokens: Column) -> Column:
+    return F.lit(LINEAR) * tokens + F.lit(QUADRATIC) * tokens * tokens
+
+
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The container of each item; ``sizes`` are descending and at most ``capacity``."""
     n = len(sizes)
@@ -47,41 +55,48 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
         room[k] -= size
         load[k] += cost[i]
         home[i] = k
-    _empty_thin(loose, home, room, opened, capacity)
+    _empty_thin(loose, cost, home, room, load, opened, capacity)
     placed[full:] = full + np.unique(home, return_inverse=True)[1]
     return placed
 
 
-def _empty_thin(sizes: np.ndarray, home: np.ndarray, room: np.ndarray, opened: int, capacity: int) -> None:
-    """Dissolves containers, the emptiest first, while all their items fit into gaps of others."""
+def _empty_thin(sizes: np.ndarray, cost: np.ndarray, home: np.ndarray, room: np.ndarray, load: np.ndarray, opened: int, capacity: int) -> None:
+    """Dissolves containers, the emptiest first, while all their items fit into gaps of others.
+
+    An item goes to the cheapest container with room, or, where that fails, to
+    the tightest gap; none becomes dearer than the dearest was before.
+    """
     least = -(-int(sizes.sum()) // capacity)
+    dearest = load[:opened].max()
     order = np.argsort(-room[:opened], kind="stable")
     members: dict[int, list[int]] = {}
     for i, k in enumerate(home):
         members.setdefault(int(k), []).append(i)
     room[opened:] = -1
     left = opened
-    for k in order:
+    for k in map(int, order):
         if left <= least:
             return
-        items = members.get(int(k), [])
-        saved, moved = room.copy(), []
-        room[k] = -1
-        for i in items:
-            gaps = np.where(room[:opened] >= sizes[i], room[:opened], capacity + 1)
-            t = int(gaps.argmin())
-            if gaps[t] > capacity:
+        for by in (load, room):
+            saved, moved = (room.copy(), load.copy()), []
+            room[k] = -1
+            for i in members.get(k, []):
+                open_ = (room[:opened] >= sizes[i]) & (load[:opened] + cost[i] <= dearest)
+                gaps = np.where(open_, by[:opened], np.inf)
+                t = int(gaps.argmin())
+                if gaps[t] == np.inf:
+                    break
+                room[t] -= sizes[i]
+                load[t] += cost[i]
+                moved.append((i, t))
+            else:
+                for i, t in moved:
+                    home[i] = t
+                    members[t].append(i)
+                members[k], load[k] = [], np.inf
+                left -= 1
                 break
-            room[t] -= sizes[i]
-            moved.append((i, t))
-        else:
-            for i, t in moved:
-                home[i] = t
-                members[t].append(i)
-            members[int(k)] = []
-            left -= 1
-            continue
-        room[:] = saved
+            room[:], load[:] = saved
 
 
 def pack_items(items: DataFrame, item: str, tokens: str, windows: list[tuple[str, int]], *, shard_pieces: int = SHARD_PIECES) -> DataFrame:
@@ -102,8 +117,8 @@ def pack_items(items: DataFrame, item: str, tokens: str, windows: list[tuple[str
         (F.col("piece") * F.col("capacity")).alias("token_from"),
         F.least("capacity", F.col("size") - F.col("piece") * F.col("capacity")).alias("tokens"),
     )
-    shards = max(1, -(-kept.count() // shard_pieces))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64(item, "piece"), F.lit(shards)).cast("int"))
+    bits = max(0, math.ceil(math.log2(max(1, kept.count()) / shard_pieces)))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64(item, "piece"), F.lit(1 << bits)).cast("int"))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["tokens", item, "piece"], ascending=[False, True, True], kind="stable")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgauge.llm.packing import pack_items
+from docgauge.llm.packing import cost_of, pack_items
 from docgauge.llm.tokens import token_counts
 from docgauge.session import cut, table
 
@@ -17,10 +17,18 @@ def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """Containers of each window and the part of their room that is used."""
+    """Containers of each window, the part of their room that is used, and how their costs spread.
+
+    ``even_cost`` is the cost of a container if all cost the same; no packing's
+    dearest container can be cheaper.  A container that one item fills costs
+    more than any mixture, so ``dearest_mixed`` is that of the others.
+    """
     windows = table(spark, folder, "context_windows")
-    filled = p6_packed(spark, folder).groupBy("window_name", "shard", "container").agg(F.sum("tokens").alias("tokens"))
-    totals = filled.groupBy("window_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    filled = p6_packed(spark, folder).groupBy("window_name", "shard", "container").agg(F.sum("tokens").alias("tokens"), F.sum(cost_of(F.col("tokens"))).alias("cost"), F.count(F.lit(1)).alias("items"))
+    totals = filled.groupBy("window_name").agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.avg("cost").alias("even_cost"), F.max("cost").alias("dearest"),
+        F.max(F.when(F.col("items") > 1, F.col("cost"))).alias("dearest_mixed"), F.stddev_pop("cost").alias("cost_deviation"),
+    )
     used = F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))
     return totals.join(windows, "window_name").withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity_tokens"))).withColumn("used", used)
 

@@ -141,5 +141,31 @@ def test_shares_of_the_test_tables(spark, data):
 
 def test_every_container_is_tried():
     sizes, home = np.array([51] * 66 + [1] * 60), np.array([*range(66), *[66] * 60])
-    packing._empty_thin(sizes, home, np.array([49] * 66 + [40]), 67, 100)
+    cost = sizes.astype(float)
+    packing._empty_thin(sizes, cost, home, np.array([49] * 66 + [40]), np.bincount(home, cost), 67, 100)
     assert 66 not in home and max(np.bincount(home, sizes)) <= 100
+
+
+def test_costs_are_balanced():
+    """Against packing in the order of arrival: nearly even costs, and emptying makes none dearer."""
+    rng = np.random.default_rng(5)
+    capacity = 4096
+    sizes = np.sort(np.minimum(rng.lognormal(5.5, 0.9, 4000).astype(int) + 1, capacity // 4))[::-1]
+    cost = packing.LINEAR * sizes + packing.QUADRATIC * sizes.astype(float) ** 2
+    costs = np.bincount(pack(sizes, capacity), cost)
+    assert costs.max() / costs.mean() < 1.1 and costs.std() / costs.mean() < 0.05
+    shuffled, first, room = rng.permutation(len(sizes)), [0.0], capacity
+    for i in shuffled:
+        if sizes[i] > room:
+            first.append(0.0)
+            room = capacity
+        first[-1] += cost[i]
+        room -= sizes[i]
+    assert costs.std() / costs.mean() < 0.3 * np.std(first) / np.mean(first)
+
+
+def test_growth_splits_shards_in_two(spark):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 90 + 1).alias("tokens"))
+    small = {r.doc_id: r.shard for r in pack_items(df.where("doc_id < 200"), "doc_id", "tokens", [("w", 512)], shard_pieces=100).collect()}
+    large = {r.doc_id: r.shard for r in pack_items(df, "doc_id", "tokens", [("w", 512)], shard_pieces=100).collect()}
+    assert max(small.values()) == 1 and max(large.values()) == 3 and all(large[i] & 1 == s for i, s in small.items())
