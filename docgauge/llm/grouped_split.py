@@ -8,8 +8,6 @@ mix of labels come near the targets.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,31 +66,33 @@ def linked_groups(mentions: DataFrame, record: str, entity: str, *, rounds: int
 
     Only records that share an entity with another one are in the result; for
     all others the label is the record itself.  Mentions with a null on either
-    side link nothing; repeated mentions count once.  Every round takes the
-    smallest label over an entity's records, then over a record's entities,
-    then jumps to the label of the label, so long chains close in few rounds.
-    No group is ever collected: rounds are minima with partial aggregation,
-    and lookups spread the rows of hot entities and records.
+    side link nothing; repeated mentions count once.  In every round the
+    labels that fell in the round before, and no others, go to the records
+    that share an entity, and records that bear such a label take the label of
+    their label, so long chains close in few rounds.  When none falls any more,
+    each record has heard the label of all its neighbours.  No group is ever
+    collected: rounds are minima with partial aggregation, and lookups spread
+    the rows of hot entities and records.
     """
     edges = mentions.where(F.col(record).isNotNull() & F.col(entity).isNotNull()).select(F.col(record).alias("r"), F.col(entity).alias("e"))
     edges = edges.groupBy("r", "e").agg(F.lit(1).alias("one")).drop("one")
     shared = edges.groupBy("e").agg(F.min("r").alias("low"), F.max("r").alias("high")).where(F.col("low") != F.col("high")).select("e", "low")
-    edges = cut(lookup(edges, shared, "e", spread=["r"], how="inner").select("r", "e"))
+    edges = cut(lookup(edges, shared, "e", spread=["r"], how="inner").select("r", "e", "low"))
     hot_records, hot_entities = (hot_keys(edges, k) for k in ("r", "e"))
-    labels = edges.select("r").distinct().withColumn("label", F.col("r"))
-    kept = edges
+    labels = cut(edges.groupBy("r").agg(F.min("low").alias("label")).select("r", F.col("r").alias("was"), "label"))
+    edges = edges.select("r", "e")
     for _ in range(rounds):
-        by_entity = lookup(edges, labels, "r", spread=["e"], hot=hot_records).groupBy("e").agg(F.min("label").alias("label"))
-        lowered = lookup(edges, by_entity, "e", spread=["r"], hot=hot_entities).groupBy("r").agg(F.min("label").alias("near"))
-        lowered = labels.join(lowered, "r")
-        roots = lowered.select(F.col("r").alias("near"), F.col("near").alias("label"))
-        jumped = lookup(lowered.select("r", F.col("label").alias("was"), "near"), roots, "near", spread=["r"])
-        new = cut(jumped.select("r", "was", F.least("near", F.coalesce("label", "near")).alias("label")))
-        if kept is not edges:
-            discard(kept)
-        kept, labels = new, new.select("r", "label")
-        if new.where(F.col("label") < F.col("was")).isEmpty():
+        fallen = labels.where(F.col("label") < F.col("was")).select("r", "label")
+        if fallen.isEmpty():
             return labels.select(F.col("r").alias(record), "label")
+        by_entity = lookup(edges, fallen, "r", spread=["e"], hot=hot_records, how="inner").groupBy("e").agg(F.min("label").alias("label"))
+        near = lookup(edges, by_entity, "e", spread=["r"], hot=hot_entities, how="inner").groupBy("r").agg(F.min("label").alias("near"))
+        met = labels.select("r", F.col("label").alias("was")).join(near, "r", "left").select("r", "was", F.least("was", "near").alias("met"))
+        up = fallen.select(F.col("r").alias("met"), F.col("label").alias("up"))
+        jumped = lookup(met, up, "met", spread=["r"], hot=hot_keys(labels, "label"))
+        new = cut(jumped.select("r", "was", F.least("met", "up").alias("label")))
+        discard(labels)
+        labels = new
     raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
@@ -115,82 +115,93 @@ def document_groups(manifest: DataFrame, records: DataFrame) -> DataFrame:
 
 # --- assignment of groups to splits -------------------------------------------------
 
-#: Groups with more than this part of all records are placed one by one.
-LARGE_PART = 1e-4
-
-
-def _place_large(groups: list[tuple[str, dict[str, int]]], strata: dict[str, int], shares: list[tuple[str, float]]) -> dict[str, str]:
-    """Greedy: each group, largest first, goes where the squared distance to the targets grows least."""
-    names = list(strata)
-    target = np.array([[strata[s] * share for s in names] for _, share in shares])
-    filled = np.zeros_like(target)
-    scale = np.array([max(1, strata[s]) for s in names], dtype=float)
-    total = float(sum(strata.values()) or 1)
-    placed = {}
-    for key, counts in groups:
-        size = np.array([counts.get(s, 0) for s in names], dtype=float)
-        before, after = filled - target, filled + size - target
-        by_label = ((after**2 - before**2) / scale).sum(axis=1)
-        by_size = (after.sum(axis=1) ** 2 - before.sum(axis=1) ** 2) / total
-        k = int(np.argmin(by_label + len(names) * by_size))
-        filled[k] += size
-        placed[key] = shares[k][0]
-    return placed
+#: Labels that are balanced by themselves: the most frequent ones; the rest are one more.
+STRATA = 31
+#: Groups with equal counts of all labels are a class.  Classes that hold more
+#: than this part of all records, so fewer than its inverse, are placed with
+#: regard to what is placed already.
+CLASS_PART = 1 / 4096
+
+
+def _quotas(classes: list[tuple[np.ndarray, int]], targets: np.ndarray, filled: np.ndarray) -> list[np.ndarray]:
+    """How many groups of each class go to each split.
+
+    ``classes`` are (labels of one group, groups), ``targets`` and ``filled``
+    records by split and label.  Classes of larger groups come first.  A class
+    is divided as its labels are still wanted; the groups left over by
+    rounding go, one by one, where the squared distance to the targets grows
+    least.  The same rule holds for one large group and for a million small ones.
+    """
+    filled = filled.astype(float)
+    strata = np.maximum(1.0, targets.sum(axis=0))
+    total = max(1.0, targets.sum())
+    quotas: list[np.ndarray] = [np.zeros(len(targets), dtype=np.int64)] * len(classes)
+    for c in sorted(range(len(classes)), key=lambda c: (-classes[c][0].sum(), tuple(classes[c][0]))):
+        mix, groups = classes[c]
+        wanted = np.maximum(0.0, targets - filled)
+        parts = (wanted / np.maximum(1e-9, wanted.sum(axis=0))) @ mix
+        quota = np.floor(groups * parts / parts.sum() + 1e-9).astype(np.int64) if parts.sum() > 0 else np.zeros(len(targets), dtype=np.int64)
+        filled += quota[:, None] * mix
+        for _ in range(groups - int(quota.sum())):
+            before, after = filled - targets, filled + mix - targets
+            by_label = ((after**2 - before**2) / strata).sum(axis=1)
+            by_size = (after.sum(axis=1) ** 2 - before.sum(axis=1) ** 2) / total
+            k = int(np.argmin(by_label + len(strata) * by_size))
+            filled[k] += mix
+            quota[k] += 1
+        quotas[c] = quota
+    return quotas
 
 
 def assign_splits(records: DataFrame, shares: list[tuple[str, float]], *, group: str, stratum: str, seed: int = 7) -> DataFrame:
     """``records`` with ``split_name``; all records of a ``group`` get the same one.
 
-    Groups above ``LARGE_PART`` of all records, at most ``1 / LARGE_PART`` of
-    them, are placed one by one on the driver, largest first, where they
-    disturb sizes and label mix least.  The rest are laid end to end within
-    their main label, in a seeded order, and cut where the room left by the
-    large ones ends: each cut is off by one small group at most.  Ties are
-    broken by the group's name.  Null groups and strata are values like any
-    other; an empty table gives an empty result.
+    Labels are the ``STRATA`` most frequent values of ``stratum`` and one for
+    all others.  Groups with equal counts of labels are a class; a class is
+    divided so that sizes and label mix of the splits come nearest to the
+    targets (:func:`_quotas`), and its groups are taken in a seeded order.
+    Classes too rare to be listed, each below ``CLASS_PART`` of all records,
+    are divided by the shares within their main label, and those that are
+    listed make up for what that leaves uneven.  What is listed or broadcast is
+    bounded by these two constants.
+
+    Null groups are one group, null strata one stratum; ties are broken by the
+    group's name; an empty table gives an empty result.
     """
-    counts = records.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("n"))
-    groups = counts.groupBy(group).agg(
-        F.sum("n").alias("size"),
-        F.max(F.struct("n", F.coalesce(stratum, F.lit("")).alias("s")))["s"].alias("main"),
-    )
-    strata = {r["s"]: r["n"] for r in counts.groupBy(F.coalesce(stratum, F.lit("")).alias("s")).agg(F.sum("n").alias("n")).orderBy("s").collect()}
-    total = sum(strata.values())
-    least = max(1, math.ceil(total * LARGE_PART))
-    big = groups.where((F.col("size") > least) & F.col(group).isNotNull())
-    listed: dict[str, dict[str, int]] = {}
-    for r in counts.join(F.broadcast(big.select(group)), group).select(group, F.coalesce(stratum, F.lit("")).alias("s"), "n").collect():
-        listed.setdefault(r[group], {})[r["s"]] = r["n"]
-    order = sorted(listed.items(), key=lambda x: (-sum(x[1].values()), x[0]))
-    placed = _place_large(order, strata, shares)
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("?"))
+    named = records.select(key.alias("__group"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("__stratum"))
+    most = named.groupBy("__stratum").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__stratum").limit(STRATA).collect()
+    at = F.array_position(F.array(*[F.lit(r["__stratum"]) for r in most]) if most else F.array(F.lit("")), F.col("__stratum"))
+    mix = F.array(*[F.count_if(F.col("at") == i) for i in range(len(most) + 1)])
+    groups = cut(named.select("__group", at.alias("at")).groupBy("__group").agg(mix.alias("mix"), F.count(F.lit(1)).alias("size")))
+    weights = groups.groupBy("mix").agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("weight"))
+    labels = groups.agg(F.array(*[F.sum(F.col("mix")[i]) for i in range(len(most) + 1)])).first()[0]
+    total = sum(n or 0 for n in labels)
+    listed = weights.where(F.col("weight") > total * CLASS_PART).orderBy("mix").collect()
     spark = records.sparkSession
-    large = spark.createDataFrame(sorted(placed.items()), f"`{group}` string, split_name string")
-    taken = {name: 0 for name, _ in shares}
-    by_stratum: dict[tuple[str, str], int] = {}
-    for key, mix in order:
-        for s, n in mix.items():
-            taken[placed[key]] += n
-            by_stratum[placed[key], s] = by_stratum.get((placed[key], s), 0) + n
-    bounds = []
-    for s, n in strata.items():
-        room = [max(0.0, n * share - by_stratum.get((name, s), 0)) for name, share in shares]
-        scale = sum(room) or 1.0
-        edge = 0.0
-        for (name, _), r in zip(shares, room):
-            bounds.append((s, name, edge / scale, (edge + r) / scale))
-            edge += r
-    cuts = F.broadcast(spark.createDataFrame(bounds, "main string, split_name string, low double, high double"))
-    small = groups.join(F.broadcast(large.select(group)), group, "left_anti")
-    # within a label: hashed buckets, laid end to end, so that no task sorts a whole label
-    small = small.withColumn("spot", F.xxhash64(F.lit(seed), F.col(group))).withColumn("bucket", F.shiftrightunsigned("spot", 52))
-    inside = Window.partitionBy("main", "bucket").orderBy("spot", group)
-    small = small.withColumn("reached", F.sum("size").over(inside))
-    buckets = small.groupBy("main", "bucket").agg(F.sum("size").alias("weight"))
-    earlier = Window.partitionBy("main").orderBy("bucket")
-    buckets = buckets.select("main", "bucket", (F.sum("weight").over(earlier) - F.col("weight")).alias("start"), F.sum("weight").over(Window.partitionBy("main")).alias("whole"))
-    middle = (F.col("start") + F.col("reached") - F.col("size") / 2.0) / F.col("whole")
-    small = small.join(F.broadcast(buckets), ["main", "bucket"]).withColumn("middle", middle)
-    small = small.join(cuts, "main").where((F.col("low") <= F.col("middle")) & (F.col("middle") < F.col("high")))
-    chosen = large.select(group, "split_name").unionByName(small.select(group, "split_name"))
-    spread = [c for c in records.columns if c != group]
-    return lookup(records, chosen, group, spread=spread).drop(SALT)
+    numbers = spark.createDataFrame([(r["mix"], i) for i, r in enumerate(listed)], "mix array<long>, number int")
+    main = -F.array_position("mix", F.array_max("mix")).cast("int")
+    # the rank of a group in its class, in a seeded order: over hashed buckets, so that no task sorts a class
+    placed = groups.join(F.broadcast(numbers), "mix", "left").withColumn("number", F.coalesce("number", main))
+    placed = placed.withColumn("spot", F.xxhash64(F.lit(seed), F.col("__group"))).withColumn("bucket", F.shiftrightunsigned("spot", 52))
+    inside = F.row_number().over(Window.partitionBy("number", "bucket").orderBy("spot", "__group")) - 1
+    buckets = placed.groupBy("number", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    buckets = buckets.select("number", "bucket", (F.sum("n").over(Window.partitionBy("number").orderBy("bucket")) - F.col("n")).alias("start"))
+    ranked = placed.withColumn("inside", inside).join(buckets, ["number", "bucket"])
+    ranked = cut(ranked.select("__group", "number", "mix", (F.col("start") + F.col("inside")).alias("rank")))
+    edges = np.r_[0.0, np.cumsum([share for _, share in shares])] / (sum(share for _, share in shares) or 1.0)
+    rare = {r["number"]: r["n"] for r in ranked.where(F.col("number") < 0).groupBy("number").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bounds = [(c, name, int(np.rint(low * n)), int(np.rint(high * n))) for c, n in rare.items() for (name, _), low, high in zip(shares, edges, edges[1:])]
+    kind = "number int, split_name string, low long, high long"
+    taken = (F.col("low") <= F.col("rank")) & (F.col("rank") < F.col("high"))
+    sums = ranked.join(F.broadcast(spark.createDataFrame(bounds, kind)), "number").where(taken)
+    sums = {r["split_name"]: r["mix"] for r in sums.groupBy("split_name").agg(F.array(*[F.sum(F.col("mix")[i]) for i in range(len(most) + 1)]).alias("mix")).collect()}
+    targets = np.outer(np.diff(edges), [n or 0 for n in labels])
+    filled = np.array([sums.get(name, [0] * (len(most) + 1)) for name, _ in shares])
+    for c, quota in enumerate(_quotas([(np.array(r["mix"]), r["groups"]) for r in listed], targets, filled)):
+        ends = np.cumsum(quota)
+        bounds += [(c, name, int(end - n), int(end)) for (name, _), n, end in zip(shares, quota, ends)]
+    # no more rows than classes are listed, times splits
+    chosen = ranked.join(F.broadcast(spark.createDataFrame(bounds, kind)), "number").where(taken).select("__group", "split_name")
+    own = [c for c in records.columns if c != "split_name"]
+    return lookup(records.select(*own, key.alias("__group")), chosen, "__group", spread=own).select(*[F.col(f"`{c}`") for c in own], "split_name")

@@ -4,8 +4,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from docgauge.llm import grouped_split
 from docgauge.llm.grouped_split import assign_splits, canonical_id, group_name, linked_groups, nameless
-from docgauge.llm.grouped_split_queries import SQL, p5_found, p5_split
+from docgauge.llm.grouped_split_queries import SQL, p5_audit, p5_found, p5_split
 from docgauge.operators import skewed
 from docgauge.session import table
 from tests.oracle import assert_same, connect
@@ -67,21 +68,44 @@ def test_split_keeps_groups_whole_and_near_targets(spark, data):
     assert len(rows) == table(spark, data, "internvl_error_sample_v1").select("question_id").distinct().count()
 
 
-def test_assignment_balances_sizes_and_labels(spark):
+def test_audit_equals_sql(spark, data):
+    assert_same(p5_audit(spark, data), connect(data), SQL["p5_audit"])
+
+
+def drift(rows, shares):
+    """Largest distance of a split's size, and of a label's share in a split, from its target; parts of all records."""
+    sizes, labels = Counter(r.split_name for r in rows), Counter(r.s for r in rows)
+    both = Counter((r.split_name, r.s) for r in rows)
+    return max(abs(sizes[k] - share * len(rows)) for k, share in shares) / len(rows), max(abs(both[k, s] - share * n) for k, share in shares for s, n in labels.items()) / len(rows)
+
+
+@pytest.mark.parametrize(("size", "part"), [(3000, grouped_split.CLASS_PART), (150, 1 / 8), (3000, 2.0)])
+def test_assignment_balances_sizes_and_labels(spark, monkeypatch, size, part):
+    monkeypatch.setattr(grouped_split, "CLASS_PART", part)
     rng = random.Random(4)
     rows = []
-    for g in range(3000):
+    for g in range(size):
         for _ in range(rng.choice([1, 1, 1, 2, 5])):
             rows.append((f"g{g}", rng.choice("aab"), len(rows)))
-    rows += [("big", "b", 10_000 + i) for i in range(600)] + [(None, None, 99_999)]
-    df = spark.createDataFrame(rows, "g string, s string, id long").withColumn("n", F.lit(0)).withColumn("size", F.lit("x"))
+    rows += [("big", "b", 10**6 + i) for i in range(size // 5)] + [(None, None, 10**7), (None, "a", 10**7 + 1)]
+    df = spark.createDataFrame(rows, "g string, s string, id long").withColumn("n", F.lit(0)).withColumn("size", F.lit("x")).withColumn("split_name", F.lit("clash"))
     shares = [("test", 0.1), ("train", 0.8), ("validation", 0.1)]
     got = assign_splits(df, shares, group="g", stratum="s").collect()
     again = {r.id: r.split_name for r in assign_splits(df.repartition(9), shares, group="g", stratum="s").collect()}
     assert len(got) == len(rows) and again == {r.id: r.split_name for r in got}
-    sizes = Counter(r.split_name for r in got)
-    for name, share in shares:
-        assert abs(sizes[name] / len(rows) - share) < 0.02
-        part = [r for r in got if r.split_name == name]
-        assert abs(sum(r.s == "a" for r in part) / len(part) - sum(r[1] == "a" for r in rows) / len(rows)) < 0.12
+    where = defaultdict(set)
+    for r in got:
+        where[r.g].add(r.split_name)
+    assert all(len(s) == 1 and None not in s for s in where.values())
+    by_size, by_label = drift(got, shares)
+    if part < 1:
+        assert by_size < 0.015 and by_label < 0.03
     assert assign_splits(df.limit(0), shares, group="g", stratum="s").count() == 0
+
+
+def test_rare_labels_are_put_together(spark):
+    """Any number of labels: the list on the driver is bounded."""
+    df = spark.range(4000).select((F.col("id") / 2).cast("int").cast("string").alias("g"), F.concat(F.lit("w"), F.col("id") % 700).alias("s"), "id")
+    shares = [("train", 0.8), ("test", 0.2)]
+    got = assign_splits(df, shares, group="g", stratum="s").collect()
+    assert len(got) == 4000 and drift(got, shares)[0] < 0.01
