@@ -6,43 +6,10 @@ import hashlib
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-#: Rows whose values are put together at a time.
-CHUNK = 1024
-
-
-def _chunked(rows: DataFrame, by: list[str], value: Column, order: Column, distinct: bool) -> DataFrame:
-    level = rows.select(*by, order.cast("long").alias("__o"), value.cast("string").alias("__v")).where(F.col("__o").isNotNull())
-    if distinct:
-        level = level.distinct()
-    level = level.withColumn("__c", F.floor(F.col("__o") / CHUNK))
-    pairs = F.array_sort(F.collect_list(F.struct("__o", "__v")))
-    chunks = level.groupBy(*by, "__c").agg(F.sha2(F.array_join(F.transform(pairs, lambda p: p["__v"]), ","), 256).alias("__d"))
-    tops = chunks.withColumn("__t", F.floor(F.col("__c") / CHUNK))
-    ordered = F.array_sort(F.collect_list(F.struct("__c", "__d")))
-    tops = tops.groupBy(*by, "__t").agg(F.sha2(F.array_join(F.transform(ordered, lambda p: p["__d"]), ","), 256).alias("__d"))
-    last = F.array_sort(F.collect_list(F.struct("__t", "__d")))
-    return tops.groupBy(*by).agg(F.sha2(F.array_join(F.transform(last, lambda p: p["__d"]), ","), 256).alias("digest"))
-
-
-def sequence_digest(rows: DataFrame, by: list[str], value: Column, order: Column) -> DataFrame:
-    """(by, digest) of the values in the order of an integer.
-
-    A digest of digests of digests: places are put together in chunks of
-    ``CHUNK``, then the chunks, then those, so no task joins a whole group.
-    Places need not be dense; rows without a place are left out.
-    """
-    return _chunked(rows, by, value, order, False)
-
-
-def set_digest(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
-    """(by, digest) of the distinct values of an integer, whatever their order."""
-    return _chunked(rows, by, value, value, True)
-
-
 def row_digest(*columns: Column) -> Column:
     """Digest of a row's values; nulls differ from empty strings."""
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in columns]), 256)
@@ -72,5 +39,5 @@ def hashed(seed: str | int, *parts: Column) -> Column:
 
 
 def hashed_index(digest: Column, size: Column) -> Column:
-    """A number below ``size`` from a digest's first 32 bits."""
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), size)
+    """A number below ``size`` from a digest's first 60 bits."""
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), size)

@@ -36,13 +36,6 @@ def first_valid(answers: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(answers, strip), lambda a: a != ""), F.lit(1))
 
 
-def distance_share(reference: Column, prediction: Column) -> Column:
-    """Edit distance over the longer length, both normalised; one blank side gives 1, two give 0."""
-    a, b = normalize(reference), normalize(F.coalesce(prediction, F.lit("")))
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(a, b) / longest)
-
-
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often it is used."""
     return F.element_at(F.transform(F.array(value), body), 1)

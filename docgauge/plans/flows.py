@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Mapping
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,15 +11,17 @@ from pyspark.sql import functions as F
 
 from docgauge import schema
 from docgauge.functions import text
-from docgauge.functions.digests import hashed, sequence_digest
+from docgauge.functions.digests import hashed
 from docgauge.functions.scoring import metrics
 from docgauge.operators.bootstrap import attachable
 from docgauge.operators.compare import delta_counts, paired
+from docgauge.operators.digests import sequence_digest
 from docgauge.operators.coverage import enforce, requested_set_summary, required_set, sidecar_report
 from docgauge.operators.leakage import exclusion_reasons, group_key, overlap_counts
 from docgauge.operators.resume import guard_append, pending
 from docgauge.operators.sampling import take_groups
-from docgauge.sinks.reports import append_records, refuse_overwrite, write_report
+from docgauge.session import exists
+from docgauge.sinks.reports import append_records, refuse_overwrite, stored, write_report
 from docgauge.sources.documents import late_columns, read_answers, read_manifest, target
 from docgauge.sources.jsonl import read_last
 
@@ -59,8 +60,8 @@ def resume_run(examples: DataFrame, store: str, make: Callable[[], Predictor], f
     spark = examples.sparkSession
     kind = "question_id long, status string, error string, prediction string, generation_seconds double, run_fingerprint_sha256 string"
     left = examples
-    if Path(store).exists():
-        log = spark.read.schema(kind).parquet(store)
+    if exists(spark, store):
+        log = stored(spark, store, kind)
         guard_append(log, "run_fingerprint_sha256", fingerprint)
         left = examples.join(pending(examples, log, "question_id", "run_fingerprint_sha256", fingerprint), "question_id", "left_semi")
     append_records(run_predictions(left, make, fingerprint), store, ["question_id", "status", "run_fingerprint_sha256"])
@@ -72,7 +73,7 @@ def rescore(spark: SparkSession, manifest: str, answers: str, predictions: str,
     Cached metrics are ignored; what is missing scores 0; the last record of
     a question counts.
     """
-    refuse_overwrite([f"{out}/summary.json", f"{out}/rescored"], overwrite=overwrite)
+    refuse_overwrite(spark, [f"{out}/summary.json", f"{out}/rescored"], overwrite=overwrite)
     required = required_set(read_manifest(spark, manifest)[1], "question_id")
     given = read_answers(spark, answers)
     valid = F.size(text.valid_references(F.col("answers"))) > 0

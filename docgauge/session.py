@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import weakref
@@ -17,21 +18,44 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for any scheme, so that a shared store is seen as well as a local one."""
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
+    return java.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), java
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path``, which may be a glob, names anything."""
+    files, java = _files(spark, path)
+    found = files.globStatus(java)
+    return found is not None and len(found) > 0
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, replaced if it is there."""
+    files, java = _files(spark, path)
+    out = files.create(java, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def shared_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a folder of this
-    machine is used, since then driver and executors are one machine.
+    Where that setting is absent a folder of this machine is used if driver and
+    executors are one process; on a cluster that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if named:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(named)
-        return named
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="docgauge-"))
-    return context.getCheckpointDir()
+    if not named and not context.getCheckpointDir():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="docgauge-")
+    if named and not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named or context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,11 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
 
     This cuts the lineage: losing executors afterwards costs nothing.  Unlike
     ``checkpoint()`` it computes ``df`` once.  The table lives until
-    :func:`discard` or until the shared folder is emptied.
+    :func:`discard`, or else until the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_checkpoint_dir(spark)}/docgauge-{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, java = _files(spark, path)
+    files.deleteOnExit(java.getParent())
     kept = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[id(kept)] = path
     weakref.finalize(kept, _WRITTEN.pop, id(kept), None)
@@ -54,5 +80,5 @@ def discard(kept: DataFrame) -> None:
     """Deletes the table behind a result of :func:`cut` that is needed no more."""
     path = _WRITTEN.pop(id(kept), None)
     if path:
-        java = kept.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        java.getFileSystem(kept.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(java, True)
+        files, java = _files(kept.sparkSession, path)
+        files.delete(java, True)

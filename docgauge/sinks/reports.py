@@ -6,8 +6,11 @@ import json
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from docgauge.session import cut, discard, exists, write_text
 
 #: Rows that a report may hold; larger results are tables, not reports.
 REPORT_ROWS = 10_000
@@ -25,9 +28,9 @@ def confined(path: str | Path, root: str | Path) -> Path:
     return full
 
 
-def refuse_overwrite(paths: Sequence[str | Path], *, overwrite: bool = False) -> None:
-    """Raises, naming all outputs that exist, before any work is done."""
-    there = [str(p) for p in paths if Path(p).exists()]
+def refuse_overwrite(spark: SparkSession, paths: Sequence[str | Path], *, overwrite: bool = False) -> None:
+    """Raises, naming all outputs that exist on whatever file system, before any work is done."""
+    there = [str(p) for p in paths if exists(spark, str(p))]
     if there and not overwrite:
         raise FileExistsError(f"outputs exist: {there}")
 
@@ -41,14 +44,14 @@ def _rows(df: DataFrame) -> list[dict]:
 
 def write_report(df: DataFrame, path: str | Path) -> None:
     """Rows of a small result as indented JSON."""
-    Path(path).write_text(json.dumps(_rows(df), indent=2, default=str, ensure_ascii=False) + "\n")
+    write_text(df.sparkSession, str(path), json.dumps(_rows(df), indent=2, default=str, ensure_ascii=False) + "\n")
 
 
 def write_markdown(df: DataFrame, path: str | Path, title: str) -> None:
     cell = lambda v: ("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)).replace("|", r"\|").replace("\n", " ")
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     lines += ["| " + " | ".join(cell(v) for v in r.values()) + " |" for r in _rows(df)]
-    Path(path).write_text("\n".join(lines) + "\n")
+    write_text(df.sparkSession, str(path), "\n".join(lines) + "\n")
 
 
 def write_line_chart(df: DataFrame, x: str, y: str, path: str | Path, *, width: int = 640, height: int = 320, margin: int = 40) -> None:
@@ -64,17 +67,45 @@ def write_line_chart(df: DataFrame, x: str, y: str, path: str | Path, *, width:
         xs = scaled([float(p[0]) for p in points], margin, width - margin)
         ys = scaled([float(p[1]) for p in points], height - margin, margin)
         line = f'<polyline fill="none" stroke="black" points="{" ".join(f"{a:.1f},{b:.1f}" for a, b in zip(xs, ys))}"/>'
-    Path(path).write_text(f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{line}<text x="{margin}" y="20">{y}</text></svg>\n')
-
-
-def append_records(records: DataFrame, store: str, keys: Sequence[str]) -> None:
-    """Appends what the store does not have yet, one row per key: repeating a batch changes nothing."""
-    new = records.dropDuplicates(list(keys))
-    spark = records.sparkSession
-    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-    if java.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(java):
-        new = new.join(spark.read.schema(records.schema).parquet(store).select(*keys), list(keys), "left_anti")
-    new.write.mode("append").parquet(store)
+    write_text(df.sparkSession, str(path), f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{line}<text x="{margin}" y="20">{y}</text></svg>\n')
+
+
+#: Folders of a store.  A batch is held against the keys of those it writes to.
+STORE_FOLDERS = 64
+_FOLDER = "__folder"
+
+
+def stored(spark: SparkSession, store: str, schema: StructType | str) -> DataFrame:
+    """The rows of an append store; an empty table where there is none yet."""
+    kind = schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
+    if not exists(spark, store):
+        return spark.createDataFrame([], kind)
+    return spark.read.schema(StructType([*kind.fields, StructField(_FOLDER, IntegerType())])).parquet(store).drop(_FOLDER)
+
+
+def append_records(records: DataFrame, store: str, keys: Sequence[str], *, order: Sequence[str] | None = None) -> None:
+    """Appends what the store does not have yet, one row per key: repeating a batch changes nothing.
+
+    Of several rows of a key the first in ``order`` stays, by default that of
+    the smallest values, so a replayed batch keeps the same one.  A small batch
+    reads the keys of the folders it falls into, not the whole store.
+    """
+    spark, keys = records.sparkSession, list(keys)
+    rest = [c for c in records.columns if c not in keys]
+    place = F.struct(*order) if order else F.struct(*[F.to_json(F.struct(c)) for c in rest] or [F.lit(1)])
+    first = records.groupBy(*keys).agg(F.min_by(F.struct(*rest), place).alias("__row")).select(*keys, "__row.*") if rest else records.select(*keys).distinct()
+    new = first.select(*records.columns).withColumn(_FOLDER, F.pmod(F.xxhash64(*keys), F.lit(STORE_FOLDERS)).cast("int"))
+    if exists(spark, store):
+        new = cut(new)
+        # at most STORE_FOLDERS numbers
+        folders = [r[0] for r in new.select(_FOLDER).distinct().collect()]
+        kind = StructType([*records.schema.fields, StructField(_FOLDER, IntegerType())])
+        old = spark.read.schema(kind).parquet(store).where(F.col(_FOLDER).isin(folders)).select(*keys, _FOLDER)
+        same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys] + [F.col(f"n.{_FOLDER}") == F.col(f"o.{_FOLDER}")]
+        new.alias("n").join(old.alias("o"), same, "left_anti").write.mode("append").partitionBy(_FOLDER).parquet(store)
+        discard(new)
+    else:
+        new.write.mode("append").partitionBy(_FOLDER).parquet(store)
 
 
 def review_inventory(files: DataFrame, listed: DataFrame) -> DataFrame:

@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docgauge.operators.coverage import enforce, last_by_key, repeated_keys, unexpected_keys
+from docgauge.session import exists
 
 #: Orders records as they stand in their files: by path, by the start of the
 #: split, and by the place in the split.
 PLACE = "__place"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = java.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(java)
-    return found is not None and len(found) > 0
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: str, *, tolerant: bool = False) -> DataFrame:
     """Records with ``__place``; blank lines are skipped, a missing path is empty.
 
@@ -26,7 +21,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, *, tolerant: bool =
     the rows of one split carry increasing ids in the order they are read.
     """
     kind = T._parse_datatype_string(schema)
-    if not _exists(spark, path):
+    if not exists(spark, path):
         place = T.StructType().add("path", "string").add("start", "long").add("id", "long")
         return spark.createDataFrame([], T.StructType([*kind.fields, T.StructField(PLACE, place)]))
     lines = spark.read.text(path).select(

@@ -82,7 +82,7 @@ def test_predictions_resume(spark, tmp_path):
 
     for _ in range(2):
         flows.resume_run(examples, store, make, "f1")
-    rows = spark.read.parquet(store)
+    rows = reports.stored(spark, store, spark.read.parquet(store).drop("__folder").schema)
     assert rows.where("status = 'ok'").count() == 2 and rows.where("status = 'error'").count() == 1
     with pytest.raises(ValueError, match="fingerprint"):
         flows.resume_run(examples, store, make, "f2")
@@ -132,6 +132,58 @@ def test_reports(spark, tmp_path):
     assert inventory == {"a.txt": "included", "none.txt": "missing", "x.png": "missing"}
 
 
+@pytest.fixture
+def shared(spark, tmp_path):
+    """A folder behind a scheme that is not the local one."""
+    spark.conf.set("fs.viewfs.mounttable.shared.link./data", f"file:{tmp_path}")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shared.link./data", f"file:{tmp_path}")
+    yield "viewfs://shared/data"
+    spark.conf.unset("fs.viewfs.mounttable.shared.link./data")
+
+
+def test_guards_see_shared_file_systems(spark, tmp_path, shared):
+    for root in (shared, f"file:{tmp_path}"):
+        (tmp_path / "there.json").write_text("{}")
+        with pytest.raises(FileExistsError, match="there.json"):
+            reports.refuse_overwrite(spark, [f"{root}/there.json", f"{root}/free.json"])
+        reports.refuse_overwrite(spark, [f"{root}/there.json"], overwrite=True)
+        reports.refuse_overwrite(spark, [f"{root}/free.json"])
+        store = f"{root}/store-{root[:4]}"
+        examples = spark.createDataFrame([(1, "a")], "question_id long, question string")
+        flows.resume_run(examples, store, lambda: str.upper, "f1")
+        with pytest.raises(ValueError, match="fingerprint"):
+            flows.resume_run(examples, store, lambda: str.upper, "f2")
+        reports.write_report(examples, f"{root}/report.json")
+        assert json.loads((tmp_path / "report.json").read_text())[0]["question"] == "a"
+
+
+def test_a_store_keeps_the_same_row_at_every_replay(spark, tmp_path):
+    kind = "k long, at long, text string"
+    rows = [(i % 50, i, f"t{i}") for i in range(200)] + [(None, 5, "x"), (None, 4, "y")]
+    kept = []
+    for name in "ab":
+        store = str(tmp_path / name)
+        for part in (rows[:90], rows[60:], rows):
+            reports.append_records(spark.createDataFrame(part, kind).repartition(5), store, ["k"], order=["at"])
+        kept.append(sorted(map(tuple, reports.stored(spark, store, kind).collect()), key=str))
+    assert kept[0] == kept[1] and len(kept[0]) == 51 and (3, 3, "t3") in kept[0] and (None, 4, "y") in kept[0]
+    assert reports.stored(spark, str(tmp_path / "none"), kind).count() == 0
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from docgauge import session
+
+    def fake(master):
+        context = SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None, master=master)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=context)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="share"):
+            session.shared_checkpoint_dir(fake(master))
+
+
 def test_images(spark):
     pixels = np.arange(5 * 4 * 3, dtype=np.uint8).reshape(5, 4, 3)
     data = images.encode_png(pixels)
@@ -148,7 +200,7 @@ def test_stream_adds_nothing_twice(spark, tmp_path):
     for checkpoint in ("a", "b"):  # the second run replays everything
         query = scores.stream_once(spark, source, kind, store, str(tmp_path / checkpoint), ["question_id"], lambda df: df.withColumn("score", F.col("score") * 2))
         query.awaitTermination(120)
-    assert sorted(map(tuple, spark.read.parquet(store).collect())) == [(1, 1.0), (2, 2.0)]
+    assert sorted(map(tuple, reports.stored(spark, store, kind).collect())) == [(1, 1.0), (2, 2.0)]
 
 
 def test_schemas_parse(spark):
