@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from docgauge.functions.digests import hashed, hashed_index
 from docgauge.operators.sampling import running_total
+from docgauge.session import cut
 
 
 def cluster_bootstrap(scores: DataFrame, group: str, base: str, other: str, *, replicates: int, seed: int) -> DataFrame:
     """One row: observed mean, mean and 2.5 / 97.5 percentiles of the resampled mean difference.
 
     Groups are drawn with replacement and keep their multiplicity; a mean
-    weighs questions alike.  Groups are reduced to sums first, so a draw costs
-    one row whatever the size of the group.  Draws depend on the seed, the
-    replicate and the draw alone.  The draws, replicates times groups of them,
-    are never broadcast, though the planner takes them for few.
+    weighs questions alike.  Groups are reduced to sums first and numbered in
+    the order of a hash, so a draw costs one row whatever the size of the
+    group.  Draws depend on the seed, the replicate and the draw alone; there
+    are replicates times groups of them, made where they are needed from a
+    range and shuffled once, never held in an array or broadcast.  A null group
+    is a group.
     """
-    sums = scores.groupBy(group).agg(F.sum(F.col(other) - F.col(base)).alias("gain"), F.count(F.lit(1)).alias("n"))
-    dense = running_total(sums, F.lit(1), F.substring(group, 1, 4), [F.col(group)], "place", before=True).select("place", "gain", "n")
-    size = sums.agg(F.count(F.lit(1))).scalar()
-    draws = scores.sparkSession.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("draw"))
-    draws = draws.withColumn("place", hashed_index(hashed(seed, F.col("replicate"), F.col("draw")), size))
+    named = scores.withColumn("__group", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("?")))
+    sums = cut(named.groupBy("__group").agg(F.sum(F.col(other) - F.col(base)).alias("gain"), F.count(F.lit(1)).alias("n")))
+    spot = F.sha2(F.substring("__group", 2, 2**31 - 1), 256)
+    dense = running_total(sums.withColumn("__h", spot), F.lit(1), F.substring("__h", 1, 3), [F.col("__h"), F.col("__group")], "place", before=True).select("place", "gain", "n")
+    size = sums.count()
+    draws = scores.sparkSession.range(replicates * size).select(F.expr(f"id div {max(1, size)}").alias("replicate"), F.expr(f"id % {max(1, size)}").alias("draw"))
+    draws = draws.select("replicate", hashed_index(hashed(seed, F.col("replicate"), F.col("draw")), F.lit(size)).alias("place"))
     means = draws.join(dense.hint("shuffle_hash"), "place").groupBy("replicate").agg((F.sum("gain") / F.sum("n")).alias("mean"))
     observed = sums.agg(F.sum("gain") / F.sum("n")).scalar()
     return means.agg(

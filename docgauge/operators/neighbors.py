@@ -2,49 +2,57 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.session import cut
+from docgauge.operators.numbering import numbered
+from docgauge.session import cut, discard
+
+#: Donors in a bucket.
+WIDTH = 64
 
 
-def nearest_donors(rows: DataFrame, key: str, value: str, exclude: list[str], *, bucket: float = 0.25) -> DataFrame:
+def nearest_donors(rows: DataFrame, key: str, value: str, exclude: list[str], *, width: int = WIDTH) -> DataFrame:
     """(key, donor, distance): the row of nearest ``value`` that differs in ``exclude``; ties to the smallest key.
 
-    Rows that agree in value and all of ``exclude`` are alike as donors: they
-    are reduced to the smallest keys first.  Donors are sought bucket by
-    bucket outwards, exactly: a query stops once its best donor is nearer
-    than anything in buckets not yet visited.  A null in ``exclude`` never
-    excludes.  Rows with a null value take no part; queries without any
-    allowed donor get a null one.
+    Rows that agree in value and all of ``exclude`` are alike, as queries and
+    as donors: they are reduced to the smallest key first.  Donors are numbered
+    in the order of their value and cut into buckets of ``width``, so a bucket
+    holds as many however dense the values lie, and each query is held against
+    a few buckets around its own.  A query is settled, exactly, once its best
+    donor is nearer than the next value in buckets not yet visited; the others
+    look four times as far.  A null in ``exclude`` never excludes.  Rows with a
+    null value take no part; queries without any allowed donor get a null one.
     """
-    usable = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), *exclude)
-    alike = usable.groupBy("v", *exclude).agg(F.min(key).alias("donor"))
-    kinds = usable.select("v", *exclude).distinct()
-    donors = cut(alike.select(F.col("v").alias("w"), "donor", *[F.col(c).alias(f"d_{c}") for c in exclude]).withColumn("place", F.floor(F.col("w") / bucket)))
-    low, high = donors.agg(F.min("place"), F.max("place")).first() or (None, None)
-    best = None
-    waiting = kinds.withColumn("home", F.floor(F.col("v") / bucket))
-    reach = 1
-    while low is not None:
-        near = waiting.withColumn("place", F.explode(F.sequence(F.col("home") - reach, F.col("home") + reach)))
-        allowed = F.lit(True)
-        for c in exclude:
-            allowed = allowed & F.coalesce(F.col(c) != F.col(f"d_{c}"), F.lit(True))
-        gap = F.abs(F.col("v") - F.col("w"))
-        found = near.join(donors, "place").where(allowed).groupBy("v", *exclude).agg(F.min(F.struct(gap.alias("distance"), F.col("donor"))).alias("best"))
-        edge = F.least(F.col("v") - (F.col("home") - reach) * bucket, (F.col("home") + reach + 1) * bucket - F.col("v"))
-        joined = waiting.alias("q").join(found.alias("f"), [F.col("q.v") == F.col("f.v"), *[F.col(f"q.{c}").eqNullSafe(F.col(f"f.{c}")) for c in exclude]], "left").select("q.*", "f.best")
-        joined = cut(joined)
-        done = F.col("best.distance") < edge
-        all_seen = (F.col("home") - reach <= F.lit(low)) & (F.col("home") + reach >= F.lit(high))
-        settled = joined.where(F.coalesce(done, F.lit(False)) | all_seen).select("v", *exclude, "best")
-        best = settled if best is None else best.unionByName(settled)
-        waiting = joined.where(~(F.coalesce(done, F.lit(False)) | all_seen)).drop("best")
-        if reach > high - low or waiting.isEmpty():
+    usable = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("__key"), F.col(value).cast("double").alias("v"), *[F.col(c).alias(f"e{i}") for i, c in enumerate(exclude)])
+    kinds = [f"e{i}" for i in range(len(exclude))]
+    alike = usable.groupBy("v", *kinds).agg(F.min("__key").alias("donor"))
+    donors = cut(numbered(alike, [], ["v"], "at").withColumn("home", F.expr(f"at div {width}")))
+    edges = cut(donors.groupBy("home").agg(F.min("v").alias("low"), F.max("v").alias("high")))
+    others = donors.select(F.col("home").alias("place"), F.col("v").alias("w"), "donor", *[F.col(c).alias(f"d_{c}") for c in kinds])
+    gap = F.abs(F.col("v") - F.col("w"))
+    allowed = reduce(and_, [F.coalesce(F.col(c) != F.col(f"d_{c}"), F.lit(True)) for c in kinds], F.lit(True))
+    waiting, reach, settled = donors.select("at", "home", "v", *kinds), 1, []
+    buckets = edges.count()
+    while buckets:
+        near = waiting.withColumn("place", F.explode(F.sequence(F.greatest(F.lit(0), F.col("home") - reach), F.least(F.lit(buckets - 1), F.col("home") + reach))))
+        found = near.join(others, "place").where(allowed).groupBy("at").agg(F.min(F.struct(gap.alias("distance"), F.col("donor"))).alias("best"))
+        below = edges.select((F.col("home") + reach + 1).alias("home"), F.col("high").alias("below"))
+        above = edges.select((F.col("home") - reach - 1).alias("home"), F.col("low").alias("above"))
+        looked = waiting.join(found, "at", "left").join(below, "home", "left").join(above, "home", "left")
+        rest = F.least(F.col("v") - F.col("below"), F.col("above") - F.col("v"))  # null where all is seen
+        looked = cut(looked.withColumn("done", rest.isNull() | F.coalesce(F.col("best.distance") < rest, F.lit(False))))
+        settled.append(looked.where("done").select("at", "best"))
+        more = looked.where("NOT done").select("at", "home", "v", *kinds)
+        if more.isEmpty():
             break
-        reach *= 4
-    if best is None:
+        waiting, reach = more, reach * 4
+    discard(edges)
+    if not settled:
         return rows.select(key, F.lit(None).cast(rows.schema[key].dataType).alias("donor"), F.lit(None).cast("double").alias("distance")).limit(0)
-    same = [F.col("u.v") == F.col("b.v"), *[F.col(f"u.{c}").eqNullSafe(F.col(f"b.{c}")) for c in exclude]]
-    return usable.alias("u").join(best.alias("b"), same).select(F.col(f"u.{key}"), F.col("b.best.donor").alias("donor"), F.col("b.best.distance").alias("distance"))
+    best = reduce(DataFrame.unionByName, settled).join(donors.select("at", "v", *kinds), "at")
+    same = [F.col("u.v") == F.col("b.v"), *[F.col(f"u.{c}").eqNullSafe(F.col(f"b.{c}")) for c in kinds]]
+    return usable.alias("u").join(best.alias("b"), same).select(F.col("u.__key").alias(key), F.col("b.best.donor").alias("donor"), F.col("b.best.distance").alias("distance"))

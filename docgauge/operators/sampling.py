@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgauge.functions.digests import hashed
+from docgauge.operators.numbering import numbered
 
 
 def running_total(rows: DataFrame, value: Column, bucket: Column, order: Sequence[Column], name: str, *, before: bool = False) -> DataFrame:
     """``rows`` with the running sum of ``value`` in a global order.
 
-    ``bucket`` must rise with ``order``.  Sums run inside buckets, and offsets
+    ``bucket`` must rise with ``order`` and take a few thousand values at most,
+    such as the first digits of a hash.  Sums run inside buckets, and offsets
     over the buckets' totals, so no task sees all rows.
     """
     marked = rows.withColumn("__b", bucket).withColumn("__v", value)
@@ -39,18 +41,19 @@ def take_per_group(rows: DataFrame, group: str, key: str, count: int, seed: int)
     return rows.withColumn("__place", place).where(F.col("__place") <= count).drop("__place")
 
 
-def spread_evenly(rows: DataFrame, key: str, count: int, *, width: int = 1 << 16) -> DataFrame:
-    """``count`` rows at evenly spaced places in the order of an integer key."""
-    indexed = running_total(rows, F.lit(1), F.floor(F.col(key) / width), [F.col(key)], "__place", before=True)
+def spread_evenly(rows: DataFrame, key: str, count: int) -> DataFrame:
+    """``count`` rows at evenly spaced places in the order of ``key``."""
+    indexed = numbered(rows, [], [key])
     n = rows.agg(F.count(F.lit(1))).scalar()
     slots = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     places = rows.sparkSession.range(1).select(slots.alias("slot")).select(F.rint(F.col("slot") * (n - 1) / F.lit(float(max(1, count - 1)))).cast("long").alias("__place"), "slot")
-    return indexed.join(F.broadcast(places), "__place").drop("__place")
+    return indexed.join(F.broadcast(places), "__place").drop("__place")  # as many rows as asked for
 
 
-def presented(rows: DataFrame, key: str, steps: int, *, width: int = 1 << 16) -> DataFrame:
-    """(step, key): the keys in order, over and over, for ``steps`` steps."""
-    indexed = running_total(rows.select(key), F.lit(1), F.floor(F.col(key) / width), [F.col(key)], "__place", before=True)
-    n = rows.agg(F.count(F.lit(1))).scalar()
-    cycle = rows.sparkSession.range(steps).select(F.col("id").alias("step"), F.pmod(F.col("id"), n).alias("__place"))
-    return cycle.join(indexed, "__place").select("step", key)
+def presented(rows: DataFrame, key: str, rounds: float) -> DataFrame:
+    """(step, key): the keys in order, over and over, for so many ``rounds``; a broken round ends early."""
+    indexed = numbered(rows.select(key), [], [key])
+    n = rows.count()
+    steps = int(n * rounds)
+    cycle = F.sequence(F.col("__place"), F.lit(steps - 1).cast("long"), F.lit(n).cast("long"))
+    return indexed.where(F.col("__place") < steps).select(F.explode(cycle).alias("step"), key)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgauge.operators.numbering import numbered
 
 #: Values that agree in this many parts of a natural logarithm share a bucket.
 BUCKETS = 256
@@ -17,8 +18,8 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, places: dict[
 
     Null and NaN values take no part.  Rows are first counted by value, then by
     buckets of near values; only the buckets that hold a wanted place are
-    ordered.  So no task sees a whole group, however large, and no group's
-    values are held in memory.
+    ordered, each in a task.  A task so sees the distinct values of one bucket
+    of a group, those within a 1/``BUCKETS`` of a logarithm, and never its rows.
     """
     bucket = F.floor(F.asinh(F.col(value)) * BUCKETS).alias("__b")
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
@@ -58,37 +59,63 @@ def histogram(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def trailing_mean(value: str, by: Sequence[str], order: Sequence[str], size: int = 20) -> Column:
-    """Mean of the last ``size`` rows, null until there are so many."""
-    frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - size, 0)
-    return F.when(F.count(F.lit(1)).over(frame) == size, F.avg(value).over(frame))
+#: Rows of a series that are averaged, or counted through, in one task.
+STRETCH = 1 << 16
+
+
+def trailing_mean(series: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, size: int = 20) -> DataFrame:
+    """``series`` with the mean of the last ``size`` rows, null until there are so many.
+
+    Series are cut into stretches; each is given the last rows of the one before.
+    """
+    placed = numbered(series, by, order).withColumn("__s", F.expr(f"__place div {STRETCH}"))
+    # a row near the end of a stretch also stands, as a guest, before the next one
+    homes = F.when(F.col("__place") % STRETCH > STRETCH - size, F.array("__s", F.col("__s") + 1)).otherwise(F.array("__s"))
+    wide = placed.withColumn("__home", F.explode(homes))
+    frame = Window.partitionBy(*by, "__home").orderBy("__place").rowsBetween(1 - size, 0)
+    mean = F.when((F.col("__place") >= size - 1) & (F.count(F.lit(1)).over(frame) == size), F.avg(value).over(frame))
+    return wide.withColumn(name, mean).where(F.col("__home") == F.col("__s")).drop("__home", "__s", "__place")
 
 
 def end_means(series: DataFrame, by: Sequence[str], order: Sequence[str], value: str, size: int = 20) -> DataFrame:
-    """Means of the first and of the last ``size`` rows; null for shorter series."""
-    up = Window.partitionBy(*by).orderBy(*[F.asc(c) for c in order])
-    down = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
-    ranked = series.withColumn("__up", F.row_number().over(up)).withColumn("__down", F.row_number().over(down))
-    enough = F.count(F.lit(1)) >= size
-    return ranked.groupBy(*by).agg(
-        F.when(enough, F.avg(F.when(F.col("__up") <= size, F.col(value)))).alias("first_mean"),
-        F.when(enough, F.avg(F.when(F.col("__down") <= size, F.col(value)))).alias("last_mean"),
-    )
+    """Means of the first and of the last ``size`` rows; null for shorter series.
+
+    Either end is cut off by a rank, so groups are limited before the shuffle.
+    """
+    up = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.asc(c) for c in order]))
+    down = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order]))
+
+    def end(rank: Column, name: str) -> DataFrame:
+        kept = series.select(*by, *order, value).withColumn("__rank", rank).where(F.col("__rank") <= size)
+        return kept.groupBy(*by).agg(F.when(F.count(F.lit(1)) >= size, F.avg(value)).alias(name))
+
+    first, last = end(up, "first_mean").alias("f"), end(down, "last_mean").alias("l")
+    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"l.{k}")) for k in by]
+    return first.join(last, same).select(*[F.col(f"f.{k}") for k in by], "first_mean", "last_mean")
 
 
 def tumbling_mean(series: DataFrame, by: Sequence[str], order: Sequence[str], value: str, size: int = 8) -> DataFrame:
     """Mean of each run of ``size`` rows in order; the last one may be shorter."""
-    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return series.withColumn("step", F.floor(at / size) + 1).groupBy(*by, "step").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    stepped = numbered(series, by, order).withColumn("step", F.expr(f"__place div {size} + 1"))
+    return stepped.groupBy(*by, "step").agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 def seen_so_far(by: Sequence[str], order: Sequence[str], item: str, rows: DataFrame) -> DataFrame:
-    """``rows`` with samples_seen and unique_seen up to each row."""
-    order_by = [F.asc(c) for c in order]
-    first = (F.row_number().over(Window.partitionBy(*by, item).orderBy(*order_by)) == 1).cast("long")
-    running = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("__first", first)
-    return marked.withColumn("samples_seen", F.count(F.lit(1)).over(running)).withColumn("unique_seen", F.sum("__first").over(running)).drop("__first")
+    """``rows`` with samples_seen and unique_seen up to each row.
+
+    The first rows of the items are found by an aggregate; their flags are
+    summed inside stretches of the series, and over the stretches.
+    """
+    placed = numbered(rows, by, order)
+    firsts = placed.groupBy(*by, item).agg(F.min("__place").alias("__place")).select(*by, "__place", F.lit(1).alias("__first"))
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"f.{k}")) for k in [*by, "__place"]]
+    marked = placed.alias("p").join(firsts.alias("f"), same, "left").select("p.*", F.coalesce("f.__first", F.lit(0)).cast("long").alias("__first"))
+    marked = marked.withColumn("__s", F.expr(f"__place div {STRETCH}"))
+    totals = marked.groupBy(*by, "__s").agg(F.sum("__first").alias("__t"))
+    before = totals.select(*by, "__s", (F.sum("__t").over(Window.partitionBy(*by).orderBy("__s")) - F.col("__t")).alias("__o"))
+    inside = F.sum("__first").over(Window.partitionBy(*by, "__s").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0))
+    summed = marked.withColumn("__u", inside).alias("m").join(before.alias("b"), [F.col(f"m.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*by, "__s"]])
+    return summed.select(*[F.col(f"m.`{c}`") for c in rows.columns], (F.col("m.__place") + 1).alias("samples_seen"), (F.col("m.__u") + F.col("b.__o")).alias("unique_seen"))
 
 
 def is_contiguous(step: Column) -> Column:

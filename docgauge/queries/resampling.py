@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgauge.functions.digests import sequence_digest
 from docgauge.functions.geometry import aspect_log, tile_count, tile_ratios, visual_tokens
 from docgauge.operators.bootstrap import cluster_bootstrap
+from docgauge.operators.digests import sequence_digest
 from docgauge.operators.neighbors import nearest_donors
 from docgauge.queries.comparison import _S, _paired
 from docgauge.queries.selection import chunked_sql
@@ -40,7 +40,7 @@ def paired_digests(spark: SparkSession, folder: str) -> DataFrame:
 def nearest_parts(spark: SparkSession, folder: str) -> DataFrame:
     """For each part the part of another brand and type with the nearest aspect of size to price."""
     parts = table(spark, folder, "part").select("p_partkey", "p_brand", "p_type", aspect_log(F.col("p_size") * 40, F.col("p_retailprice")).alias("aspect"))
-    found = nearest_donors(parts, "p_partkey", "aspect", ["p_brand", "p_type"], bucket=0.01)
+    found = nearest_donors(parts, "p_partkey", "aspect", ["p_brand", "p_type"])
     return found.select("p_partkey", "donor", F.round("distance", 6).alias("distance"))
 
 
@@ -57,9 +57,9 @@ _GROUPED = f"""{_S}, g AS (SELECT run_tag, p.question_id, coalesce(doc_id::VARCH
   FROM p JOIN w USING (run_tag, question_id) LEFT JOIN manifest_examples m ON m.question_id = p.question_id)"""
 _RATIOS = ", ".join(f"({k}, {i}, {j})" for k, (i, j) in enumerate(tile_ratios(12)))
 SQL = {
-    "bootstrap_interval": f"""{_GROUPED}, sums AS (SELECT grp, sum(delta) AS gain, count(*) AS n, row_number() OVER (ORDER BY grp) - 1 AS place FROM g GROUP BY 1),
+    "bootstrap_interval": f"""{_GROUPED}, sums AS (SELECT grp, sum(delta) AS gain, count(*) AS n, row_number() OVER (ORDER BY sha256(grp), grp) - 1 AS place FROM g GROUP BY 1),
 k AS (SELECT count(*) AS k FROM sums),
-d AS (SELECT r, ('0x' || substr(sha256('{SEED}:' || r || ':' || i), 1, 8))::BIGINT % (SELECT k FROM k) AS place FROM range({REPLICATES}) a(r), range((SELECT k FROM k)) b(i)),
+d AS (SELECT r, ('0x' || substr(sha256('{SEED}:' || r || ':' || i), 1, 15))::BIGINT % (SELECT k FROM k) AS place FROM range({REPLICATES}) a(r), range((SELECT k FROM k)) b(i)),
 m AS (SELECT r, sum(gain) / sum(n) AS mean FROM d JOIN sums USING (place) GROUP BY 1)
 SELECT (SELECT round(sum(gain) / sum(n), 6) FROM sums) AS observed, round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS replicates FROM m""",
     "paired_digests": f"""{_GROUPED}, v AS (SELECT run_tag, question_id, question_id || ':' || grp AS member, question_id || ':' || grp || ':' || printf('%.6f', base) || ':' || printf('%.6f', other) AS score FROM g)

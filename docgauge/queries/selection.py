@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgauge.functions.digests import row_digest, sequence_digest, set_digest
+from docgauge.functions.digests import row_digest
 from docgauge.functions.text import first_valid, optional_id
+from docgauge.operators.digests import sequence_digest, set_digest
 from docgauge.operators.leakage import blocked_groups, exclusion_reasons, group_key, overlap_counts
 from docgauge.operators.skewed import SALT, lookup
 from docgauge.operators.sampling import presented, spread_evenly, take_groups, take_per_group
@@ -45,7 +46,8 @@ def even_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cyclic_order(spark: SparkSession, folder: str) -> DataFrame:
-    return presented(table(spark, folder, "manifest_examples").select("question_id"), "question_id", 5000)
+    """The questions in order, two and a half times over."""
+    return presented(table(spark, folder, "manifest_examples").select("question_id"), "question_id", 2.5)
 
 
 def exclusion_cascade(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,7 +133,8 @@ QUERIES = {
 
 
 def chunked_sql(source: str, by: str, value: str, order: str) -> str:
-    level = f"SELECT {by}, {order} // 1024 AS c, sha256(string_agg({value}::VARCHAR, ',' ORDER BY {order})) AS d FROM {source} GROUP BY ALL"
+    placed = f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS i FROM {source} WHERE {order} IS NOT NULL"
+    level = f"SELECT {by}, i // 1024 AS c, sha256(string_agg({value}::VARCHAR, ',' ORDER BY i)) AS d FROM ({placed}) GROUP BY ALL"
     tops = f"SELECT {by}, c // 1024 AS t, sha256(string_agg(d, ',' ORDER BY c)) AS d FROM ({level}) GROUP BY ALL"
     return f"SELECT {by}, sha256(string_agg(d, ',' ORDER BY t)) AS digest FROM ({tops}) GROUP BY ALL"
 
@@ -151,7 +154,7 @@ SQL = {
     "even_sample": """WITH r AS (SELECT question_id, row_number() OVER (ORDER BY question_id) - 1 AS i, count(*) OVER () AS n FROM manifest_examples)
   SELECT s::INT AS slot, question_id FROM r JOIN range(8) t(s) ON i = round_even(s * (n - 1) / 7.0, 0)""",
     "cyclic_order": """WITH r AS (SELECT question_id, row_number() OVER (ORDER BY question_id) - 1 AS i, count(*) OVER () AS n FROM manifest_examples)
-  SELECT s AS step, question_id FROM r JOIN range(5000) t(s) ON i = s % n""",
+  SELECT i + k * n AS step, question_id FROM r, range(3) t(k) WHERE i + k * n < floor(n * 2.5)""",
     "exclusion_cascade": f"""{_E}, f AS (SELECT question_id, CASE WHEN {_U} IS NOT NULL AND {_PG} IS NOT NULL THEN {_U} || '/' || {_PG} END AS page_key FROM internvl_error_sample_v1 WHERE exact_match = 0),
 a AS (SELECT question_id FROM answer_sidecar WHERE len(list_filter(coalesce(answers, []), lambda r: {_T.format('r')} IS NOT NULL)) > 0),
 r AS (SELECT CASE WHEN question_id NOT IN (SELECT question_id FROM a) THEN 'no_valid_answer' WHEN question_id IN (SELECT question_id FROM f) THEN 'question'

@@ -71,8 +71,8 @@ def _series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trailing_means(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _series(spark, folder).withColumn("trailing", F.round(stats.trailing_mean("x", ["system"], ["analysis_id"]), 6))
-    return rows.select("system", "analysis_id", "trailing")
+    rows = stats.trailing_mean(_series(spark, folder), ["system"], ["analysis_id"], "x", "trailing")
+    return rows.select("system", "analysis_id", F.round("trailing", 6).alias("trailing"))
 
 
 def first_last_means(spark: SparkSession, folder: str) -> DataFrame:

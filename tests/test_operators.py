@@ -114,7 +114,7 @@ def test_sampling_ignores_partitioning(spark):
     assert sum(r.n for r in take_groups(groups, "g", "n", F.lit(100), 1).collect()) >= 100
     assert take_per_group(rows, "g", "k", 4, 1).groupBy("g").count().where("count > 4").isEmpty()
     assert [r.k for r in spread_evenly(rows.select("k"), "k", 4).orderBy("slot").collect()] == [0, 100, 199, 299]
-    order = [r.k for r in presented(rows.select("k").limit(3), "k", 7).orderBy("step").collect()]
+    order = [r.k for r in presented(rows.select("k").limit(3), "k", 7 / 3).orderBy("step").collect()]
     assert len(order) == 7 and order[:3] == order[3:6]
 
 
@@ -126,11 +126,13 @@ def test_exclusions_take_the_first_reason(spark):
     assert {tuple(r) for r in found.collect()} == {("q", 3), ("d", 2)}
 
 
-def test_nearest_donor_against_brute_force(spark):
+@pytest.mark.parametrize(("width", "kinds"), [(4, ["x", "y", None]), (64, ["x", "y", None]), (2, ["x"] * 9 + ["y"])])
+def test_nearest_donor_against_brute_force(spark, width, kinds):
     rng = random.Random(3)
-    rows = [(i, rng.choice([None, round(rng.uniform(-3, 3), 1)]), rng.choice(["x", "y", None])) for i in range(120)]
-    df = spark.createDataFrame(rows, "k long, v double, d string")
-    found = {r.k: r.donor for r in nearest_donors(df, "k", "v", ["d"]).collect()}
+    rows = [(i, rng.choice([None, round(rng.uniform(-3, 3), 1), 7.0]), rng.choice(kinds)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k long, v double, d string").withColumn("at", F.lit(1)).withColumn("home", F.lit(2))
+    found = {r.k: r.donor for r in nearest_donors(df, "k", "v", ["d"], width=width).collect()}
+    assert nearest_donors(df.where("v IS NULL"), "k", "v", ["d"]).count() == 0
     for k, v, d in rows:
         if v is None:
             assert k not in found
