@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,3 +57,41 @@ def presented(rows: DataFrame, key: str, rounds: float) -> DataFrame:
     steps = int(n * rounds)
     cycle = F.sequence(F.col("__place"), F.lit(steps - 1).cast("long"), F.lit(n).cast("long"))
     return indexed.where(F.col("__place") < steps).select(F.explode(cycle).alias("step"), key)
+
+
+def fill_categories(rows: DataFrame, by: str, key: str, first: Mapping[str, Column], drawn: Mapping[str, Column], ranked: Mapping[str, Column], count: int, seed: int) -> DataFrame:
+    """(by, key, category, place): ``count`` rows of each ``by`` from ranked categories, none twice.
+
+    Of each category of ``first`` the smallest key is taken, of each of
+    ``drawn`` one by a seeded digest; what is missing is filled, in the order
+    of keys, from the categories of ``ranked``, then from all rows as ``fill``.
+    """
+    picks = [F.min(F.when(c, F.col(key))).alias(f"__{k}") for k, c in first.items()]
+    picks += [F.min(F.when(c, F.struct(hashed(seed, F.col(key)).alias("h"), F.col(key).alias("k"))))["k"].alias(f"__{k}") for k, c in drawn.items()]
+    marked = rows.join(rows.groupBy(by).agg(*picks), by)
+    names = [*first, *drawn, *ranked, "fill"]
+    checks = [F.col(key) == F.col(f"__{k}") for k in (*first, *drawn)] + list(ranked.values())
+    rank = F.lit(len(names) - 1)
+    for i, check in reversed(list(enumerate(checks))):
+        rank = F.when(check, i).otherwise(rank)
+    placed = marked.select(by, key, rank.alias("__rank")).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("__rank", key))).where(F.col("place") <= count)
+    return placed.select(by, key, F.element_at(F.array(*map(F.lit, names)), F.col("__rank") + 1).alias("category"), "place")
+
+
+def size_picks(rows: DataFrame, by: str, key: str, size: str, forced: DataFrame) -> DataFrame:
+    """(by, key, pick): the row of middle and of largest ``size`` of each ``by``, then those of ``forced``; none twice.
+
+    The middle of n rows is place ``n div 2``, counted from 0; ties go by key.
+    """
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
+    placed = numbered(rows.select(by, key, size), [by], [size, key]).alias("r").join(counts.alias("c"), F.col(f"r.{by}").eqNullSafe(F.col(f"c.{by}")))
+    pick = F.when(F.col("__place") == F.expr("__n div 2"), 1).when(F.col("__place") == F.col("__n") - 1, 2)
+    picked = placed.select(F.col(f"r.{by}").alias(by), key, pick.alias("pick")).where(F.col("pick").isNotNull())
+    return picked.unionByName(forced.select(by, key, F.lit(3).alias("pick"))).groupBy(by, key).agg(F.min("pick").alias("pick"))
+
+
+def cut_rows(rows: DataFrame, order: Sequence[str], target: int, buffer: int, rejected: Column) -> DataFrame:
+    """The first ``target`` rows that are not rejected, among the first ``target + buffer``."""
+    near = numbered(rows.withColumn("__rejected", rejected), [], order).where(F.col("__place") < target + buffer)
+    kept = near.where(~F.coalesce("__rejected", F.lit(False))).drop("__place", "__rejected")
+    return numbered(kept, [], order, "place").where(F.col("place") < target)
