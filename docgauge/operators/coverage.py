@@ -28,6 +28,14 @@ def missing_keys(records: DataFrame, required: DataFrame, key: str) -> DataFrame
     return required.select(key).distinct().join(records.select(key), key, "left_anti")
 
 
+def set_difference(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """One row: keys of the first alone, of the second alone, of both, and whether the sets are equal; null is no key."""
+    sides = [df.select(key, F.lit(i).alias("side")).where(F.col(key).isNotNull()) for i, df in enumerate((first, second))]
+    per_key = sides[0].unionByName(sides[1]).groupBy(key).agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    one = per_key.agg(F.count_if(F.col("high") == 0).alias("only_first"), F.count_if(F.col("low") == 1).alias("only_second"), F.count_if(F.col("low") != F.col("high")).alias("both"))
+    return one.withColumn("equal", (F.col("only_first") == 0) & (F.col("only_second") == 0))
+
+
 def enforce(violations: DataFrame, message: str) -> None:
     """Raises with a few examples if there is any violation."""
     shown = violations.limit(5).collect()

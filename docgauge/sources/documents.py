@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docgauge import schema
 from docgauge.functions.text import first_valid, strip
+from docgauge.operators.coverage import enforce
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -39,6 +40,22 @@ def scan_shards(spark: SparkSession, path: str, columns: Sequence[str], *, patte
     return reader.parquet(path).select(*columns, F.col("_metadata.file_name").alias("source_shard"))
 
 
+def list_files(spark: SparkSession, folder: str, *, prefix: str = "", suffix: str = "") -> DataFrame:
+    """(name, place): files and tables of a folder on any file system, by name; raises if there is none."""
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = java.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(java)
+    names = sorted(n for n in (f.getPath().getName() for f in found) if n.startswith(prefix) and n.endswith(suffix))
+    if not names:
+        raise FileNotFoundError(f"no {prefix}*{suffix} in {folder}")
+    return spark.createDataFrame([(n, i + 1) for i, n in enumerate(names)], "name string, place int")
+
+
+def missing_files(listed: DataFrame, files: DataFrame) -> DataFrame:
+    """``files`` of all paths ``listed``; raises, naming some, if one is not there."""
+    enforce(listed.select("path").join(files.select("path"), "path", "left_anti"), "files are missing")
+    return files.join(listed.select("path").distinct(), "path", "left_semi")
+
+
 def late_columns(spark: SparkSession, path: str, key: str, wanted: DataFrame, heavy: Sequence[str]) -> DataFrame:
     """Heavy columns for wanted keys alone, from a second pruned scan."""
     return spark.read.parquet(path).select(key, *heavy).join(wanted.select(key), key, "left_semi")
