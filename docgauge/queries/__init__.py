@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgauge.queries import comparison, deliveries, evidence, inventory, records, resampling, scoring, selection, statistics
+from docgauge.queries import comparison, deliveries, evidence, inventory, lifecycle, records, resampling, scoring, selection, statistics
 
-FAMILIES = (scoring, records, comparison, statistics, selection, resampling, deliveries, evidence, inventory)
+FAMILIES = (scoring, records, comparison, statistics, selection, resampling, deliveries, evidence, inventory, lifecycle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

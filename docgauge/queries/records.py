@@ -28,7 +28,10 @@ def unexpected_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def missing_questions(spark: SparkSession, folder: str) -> DataFrame:
-    return missing_keys(_log(spark, folder).where(F.col("status") == "ok"), table(spark, folder, "manifest_examples"), "question_id")
+    """Required questions that the last run has no ok record of, whatever the system."""
+    log = _log(spark, folder).select("run_tag", "question_id", "status")
+    last = log.join(F.broadcast(log.agg(F.max("run_tag").alias("run_tag"))), "run_tag")  # one row
+    return missing_keys(last.where(F.col("status") == "ok"), table(spark, folder, "manifest_examples"), "question_id")
 
 
 def status_coverage(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +98,7 @@ SQL = {
     "last_record_per_key": f"WITH {LAST_SQL} SELECT run_tag, system, question_id, record_id, status, prediction FROM last",
     "repeated_records": "SELECT record_id, count(*) AS n FROM holdout_predictions GROUP BY 1 HAVING n > 1",
     "unexpected_questions": "SELECT DISTINCT question_id FROM holdout_predictions WHERE question_id IS NOT NULL AND question_id NOT IN (SELECT question_id FROM manifest_examples)",
-    "missing_questions": "SELECT DISTINCT question_id FROM manifest_examples WHERE question_id NOT IN (SELECT question_id FROM holdout_predictions WHERE status = 'ok' AND question_id IS NOT NULL)",
+    "missing_questions": "SELECT DISTINCT question_id FROM manifest_examples WHERE question_id NOT IN (SELECT question_id FROM holdout_predictions WHERE status = 'ok' AND question_id IS NOT NULL AND run_tag = (SELECT max(run_tag) FROM holdout_predictions))",
     "status_coverage": """SELECT run_tag, system, status, count(*) AS n, count_if(question_id NOT IN (SELECT question_id FROM manifest_examples))::BIGINT AS unknown
 FROM holdout_predictions GROUP BY ALL""",
     "resume_pending": """WITH e AS (SELECT run_tag, system, max(run_fingerprint_sha256) AS expected FROM holdout_predictions GROUP BY 1, 2)

@@ -31,6 +31,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    files, java = _files(spark, path)
+    return files.getFileStatus(java).isDirectory()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text as one file, replaced if it is there."""
     files, java = _files(spark, path)
