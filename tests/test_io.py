@@ -193,6 +193,72 @@ def test_images(spark):
     assert (images.white_like(pixels) == 255).all()
 
 
+def test_resizing():
+    rng = np.random.default_rng(2)
+    pixels = rng.integers(0, 256, (9, 14, 3), dtype=np.uint8)
+    assert (images.resized(pixels, 14, 9) == pixels).all()
+    for width, height in ((28, 18), (7, 4), (5, 20), (1, 1)):
+        out = images.resized(pixels, width, height)
+        assert out.shape == (height, width, 3)
+        assert (images.resized(np.full_like(pixels, 77), width, height) == 77).all()
+
+    def slow(row, new):  # one row of one channel, in floats
+        scale = len(row) / new
+        wide = max(1.0, scale)
+        made = []
+        for i in range(new):
+            c = (i + 0.5) * scale
+            low, high = max(0, int(c - 2 * wide + 0.5)), min(len(row), int(c + 2 * wide + 0.5))
+            t = [abs((x - c + 0.5) / wide) for x in range(low, high)]
+            w = [1.5 * d**3 - 2.5 * d**2 + 1 if d < 1 else -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2 if d < 2 else 0 for d in t]
+            made.append(min(255, max(0, sum(a * b for a, b in zip(w, row[low:high])) / sum(w))))
+        return made
+
+    for new in (7, 5, 31):
+        assert np.abs(images.resized(pixels, new, 9)[3, :, 1] - np.array(slow(pixels[3, :, 1].astype(float), new))).max() <= 0.51
+    assert images.half_detail(pixels).shape == pixels.shape and (images.half_detail(pixels) != pixels).any()
+    data, meta = images.perturbed(images.encode_png(pixels), "half_detail")
+    assert (images.decode_png(data) == images.half_detail(pixels)).all() and meta["original_size"] == meta["pre_model_size"] == [14, 9]
+    assert images.perturbed(images.encode_png(pixels), "clean")[1]["source_rgb_png_sha256"] == images.perturbed(images.encode_png(pixels), "clean")[1]["transformed_rgb_png_sha256"]
+    with pytest.raises(ValueError, match="unknown"):
+        images.perturbed(images.encode_png(pixels), "jpeg_q40")
+
+
+def test_tiles_and_materialised_images(spark, tmp_path):
+    from docgauge.functions.geometry import tile_count
+
+    sizes = [(32, 8), (8, 8), (20, 15)]
+    made = [np.arange(w * h * 3, dtype=np.uint64).astype(np.uint8).reshape(h, w, 3) for w, h in sizes]
+    rows = [(i, bytearray(images.encode_png(x))) for i, x in enumerate(made)] + [(8, bytearray(b"junk")), (9, None)]
+    df = spark.createDataFrame(rows, "id long, content binary")
+    found = images.image_tiles(df, "id", "content", 12, 8).collect()
+    want = spark.createDataFrame([(i, w, h) for i, (w, h) in enumerate(sizes)], "id long, w int, h int").select("id", tile_count(F.col("w"), F.col("h"), 12, 8).alias("n"))
+    assert {r.id: r.n for r in want.collect()} == {i: sum(r.id == i for r in found) for i in range(3)}
+    first = next(r for r in found if r.id == 0 and r.tile == 0)
+    assert images.decode_png(bytes(first.png)).shape == (8, 8, 3) and images.pixel_digest(images.decode_png(bytes(first.png))) == first.rgb_digest
+    assert (images.decode_png(bytes(first.png)) == made[0][:, :8]).all()
+    store = str(tmp_path / "images")
+    for part in (df.where("id < 1"), df, df.withColumn("content", F.lit(bytearray(images.encode_png(made[1]))))):
+        images.materialise(part, "id", "content", store)
+    kept = reports.stored(spark, store, "id long, rgb_digest string, png_sha256 string, png binary").collect()
+    assert sorted((r.id, r.rgb_digest) for r in kept) == sorted({(i, images.pixel_digest(x)) for i, x in enumerate(made)} | {(i, images.pixel_digest(made[1])) for i in (0, 1, 2, 8, 9)})
+
+
+def test_files_that_must_be_there(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    files = documents.file_digests(spark, str(tmp_path / "*.txt"))
+    listed = files.select("path")
+    assert documents.missing_files(listed, files).count() == 1
+    with pytest.raises(ValueError, match="missing"):
+        documents.missing_files(listed.unionByName(spark.createDataFrame([("file:/none",)], "path string")), files)
+    assert documents.list_files(spark, str(tmp_path), suffix=".txt").first().name == "a.txt"
+    with pytest.raises(FileNotFoundError):
+        documents.list_files(spark, str(tmp_path), suffix=".png")
+    with pytest.raises(KeyError):
+        spark.range(3).write.parquet(str(tmp_path / "t"))
+        documents.point_lookup(spark, str(tmp_path / "t"), "id", 7, [])
+
+
 def test_stream_adds_nothing_twice(spark, tmp_path):
     kind = "question_id long, score double"
     source, store = str(tmp_path / "in"), str(tmp_path / "store")

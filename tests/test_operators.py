@@ -12,7 +12,7 @@ from docgauge.operators.coverage import enforce, last_by_key, missing_keys, repe
 from docgauge.operators.deliveries import one_per_message, surplus_deliveries
 from docgauge.operators.leakage import exclusion_reasons, overlap_counts
 from docgauge.operators.neighbors import nearest_donors
-from docgauge.operators.resume import guard_append, incoherent_runs, pending
+from docgauge.operators.resume import guard_append, guard_hardware, incoherent_runs, pending, run_states, weight_sets
 from docgauge.operators.sampling import presented, spread_evenly, take_groups, take_per_group
 from docgauge.queries import comparison, resampling
 
@@ -168,6 +168,92 @@ def test_digests():
     assert fingerprint({"x": 1})["run_fingerprint_sha256"] != fingerprint({"x": 2})["run_fingerprint_sha256"]
 
 
+def test_fingerprints_have_a_contract(spark):
+    from docgauge.functions import digests, scoring, text
+
+    settings = {f: f for f in digests.INFERENCE_FIELDS if f not in digests.OPTIONAL_FIELDS}
+    one = digests.inference_fingerprint(**settings)
+    assert len(one) == 21 and one["perturbation"] is None and one["run_fingerprint_sha256"] != digests.inference_fingerprint(**settings, train_update=100)["run_fingerprint_sha256"]
+    with pytest.raises(ValueError, match="missing"):
+        digests.inference_fingerprint(model_id="x")
+    with pytest.raises(ValueError, match="unknown"):
+        digests.inference_fingerprint(**settings, colour="red")
+    scorer = digests.source_digest(text, scoring)
+    assert len(scorer) == 64 and scorer != digests.source_digest(scoring, text)
+    assert digests.scoring_provenance("strict", "a", scorer)["scoring_schema"] == "scoring_v2"
+    assert digests.verified({"a": 1}, raw=b"{}")["raw"] == digests.hashlib.sha256(b"{}").hexdigest()
+    row = {"b": 'q"uote\n', "a": 3, "c": None, "d": True}
+    df = spark.createDataFrame([(row["b"], row["a"], row["c"], row["d"])], "b string, a int, c string, d boolean")
+    assert df.select(digests.json_digest({k: F.col(k) for k in row})).first()[0] == canonical_json_digest(row, newline=False)
+
+
+def test_run_states_and_hardware(spark):
+    log = spark.createDataFrame([("a", 1, "f"), ("a", 2, "f"), ("b", 3, "f"), ("b", 4, "g"), ("c", 5, "f"), ("d", 6, "f"), ("d", 7, "f"), ("d", 7, None)], "run string, r long, p string")
+    wanted = spark.createDataFrame([("a", 2), ("b", 2), ("c", 2), ("d", 1), ("e", 1)], "run string, expected int")
+    states = {r.run: (r.state, r.problems) for r in run_states(log, wanted, ["run"], "r", "p").collect()}
+    assert states == {"a": ("ok_complete", ""), "b": ("incompatible", "fingerprints"), "c": ("incompatible", "too few"), "d": ("incompatible", "fingerprints,too many"), "e": ("missing", "")}
+    kinds = {r.run: (r.kinds, r.as_wanted) for r in weight_sets(log, wanted.withColumn("wanted", F.lit("f")), ["run"], "p").collect()}
+    assert kinds["a"] == (1, True) and kinds["b"] == (2, False) and kinds["d"] == (1, False)
+    machines = spark.createDataFrame([("x",), (None,)], "gpu string")
+    guard_hardware(machines, "gpu", "x")
+    guard_hardware(machines, "gpu", "y", allow_mixed=True)
+    with pytest.raises(ValueError, match="hardware"):
+        guard_hardware(machines, "gpu", "y")
+
+
+def test_trends_over_stretches(spark, monkeypatch):
+    """Series longer than a stretch, with ties, nulls and a null series, against plain loops."""
+    from docgauge.operators import stats
+
+    monkeypatch.setattr(stats, "STRETCH", 16)
+    rng = random.Random(9)
+    rows = [(s, i, rng.choice(["a", "b", f"c{i}"]), rng.random()) for s, n in (("long", 101), ("short", 5), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "s string, i long, item string, x double").repartition(7)
+    trailing = {(r.s, r.i): r.t for r in stats.trailing_mean(df, ["s"], ["i"], "x", "t", 7).collect()}
+    seen = {(r.s, r.i): (r.samples_seen, r.unique_seen) for r in stats.seen_so_far(["s"], ["i"], "item", df).collect()}
+    steps = {(r.s, r.step): (r.mean, r.n) for r in stats.tumbling_mean(df, ["s"], ["i"], "x", 8).collect()}
+    ends = {r.s: (r.first_mean, r.last_mean) for r in stats.end_means(df, ["s"], ["i"], "x", 20).collect()}
+    for s in ("long", "short", None):
+        own = [r for r in rows if r[0] == s]
+        values = [r[3] for r in own]
+        for k, r in enumerate(own):
+            want = None if k < 6 else pytest.approx(sum(values[k - 6 : k + 1]) / 7)
+            assert trailing[s, r[1]] == want
+            assert seen[s, r[1]] == (k + 1, len({x[2] for x in own[: k + 1]}))
+        for k in range(0, len(own), 8):
+            assert steps[s, k // 8 + 1] == (pytest.approx(sum(values[k : k + 8]) / len(values[k : k + 8])), len(values[k : k + 8]))
+        assert ends[s] == ((None, None) if len(own) < 20 else (pytest.approx(sum(values[:20]) / 20), pytest.approx(sum(values[-20:]) / 20)))
+    assert stats.trailing_mean(df.limit(0), ["s"], ["i"], "x", "t").count() == 0
+
+
+def test_numbering_and_digests_of_sparse_places(spark):
+    from docgauge.operators.digests import sequence_digest
+    from docgauge.operators.numbering import numbered
+
+    df = spark.createDataFrame([(i % 3 or None, i * 10**9 - 7, f"v{i}") for i in range(500)], "g long, at long, v string").repartition(6)
+    found = defaultdict(list)
+    for r in numbered(df, ["g"], ["at"]).collect():
+        found[r.g].append((r.at, r["__place"]))
+    assert all([p for _, p in sorted(x)] == list(range(len(x))) for x in found.values()) and len(found) == 3
+    near = df.withColumn("at", F.expr("(at + 7) div 1000000000"))
+    assert {tuple(r) for r in sequence_digest(df, ["g"], F.col("v"), F.col("at")).collect()} == {tuple(r) for r in sequence_digest(near, ["g"], F.col("v"), F.col("at")).collect()}
+
+
+def test_picks_fills_and_cuts(spark):
+    from docgauge.operators.sampling import cut_rows, fill_categories, size_picks
+
+    rows = spark.createDataFrame([("r", i, i % 4 == 3, i % 5 == 0, i > 6) for i in range(1, 12)] + [("s", 1, False, False, False)], "run string, q long, lost boolean, same boolean, moved boolean")
+    got = fill_categories(rows, "run", "q", {"lost": F.col("lost")}, {"same": F.col("same")}, {"moved": F.col("moved")}, 4, 1).collect()
+    mine = sorted((r.place, r.q, r.category) for r in got if r.run == "r")
+    assert [c for _, _, c in mine] == ["lost", "same", "moved", "moved"] and mine[0][1] == 3 and len({q for _, q, _ in mine}) == 4
+    assert [(r.q, r.category) for r in got if r.run == "s"] == [(1, "fill")]
+    sized = spark.createDataFrame([("a", i, i * i) for i in range(7)] + [("b", 50, 1)], "s string, d long, n long")
+    picks = {(r.s, r.d): r.pick for r in size_picks(sized, "s", "d", "n", spark.createDataFrame([("a", 6), ("b", 50)], "s string, d long")).collect()}
+    assert picks == {("a", 3): 1, ("a", 6): 2, ("b", 50): 1}
+    kept = cut_rows(rows.where("run = 'r'"), ["q"], 5, 2, F.col("lost")).orderBy("place").collect()
+    assert [r.q for r in kept] == [1, 2, 4, 5, 6]
+
+
 def test_percentiles_against_numpy(spark):
     import numpy as np
 
