@@ -12,15 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgauge.operators.skewed import COUNT, SALT, hot_keys, key_counts, lookup
+from docgauge.operators.skewed import COUNT, SALT, hot_counted, key_counts, lookup
+from docgauge.session import cut
 
 _TIMES, _RANK = "__times", "__rank"
 
 
 def _with_frequency(known: DataFrame, key: str, order_by: Sequence[str], how: str) -> DataFrame:
-    """Rows with ``__times``, the count of their key, null where it is one."""
-    repeated = key_counts(known, key).withColumnRenamed(COUNT, _TIMES).where(F.col(_TIMES) > 1)
-    return lookup(known, repeated, key, spread=list(order_by), hot=hot_keys(known, key), how=how)
+    """Rows with ``__times``, the count of their key, null where it is one.
+
+    Keys are counted once; the repeated ones are written down, and the hot ones
+    among them, at most ``HOT_KEYS``, are told by their count.
+    """
+    repeated = cut(key_counts(known, key).where(F.col(COUNT) > 1).withColumnRenamed(COUNT, _TIMES))
+    return lookup(known, repeated, key, spread=list(order_by), hot=hot_counted(repeated, key, _TIMES, known.count()), how=how)
 
 
 def _ranked(repeated: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:

@@ -22,6 +22,14 @@ def key_counts(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(COUNT))
 
 
+def hot_counted(counts: DataFrame, key: str, count: str, total: int, *, hot_rows: int | None = None) -> list:
+    """The hot keys among counted ones, of a table of ``total`` rows; never more than ``HOT_KEYS``."""
+    limit = max(HOT_ROWS if hot_rows is None else hot_rows, total // HOT_KEYS)
+    if total <= limit:
+        return []
+    return [r[key] for r in counts.where(F.col(count) > limit).select(key).collect()]
+
+
 def hot_keys(rows: DataFrame, key: str, *, hot_rows: int | None = None) -> list:
     """The hot keys of ``rows``, nearly always none; never more than ``HOT_KEYS``."""
     counts = key_counts(rows, key)
@@ -29,7 +37,7 @@ def hot_keys(rows: DataFrame, key: str, *, hot_rows: int | None = None) -> list:
     limit = max(HOT_ROWS if hot_rows is None else hot_rows, (total or 0) // HOT_KEYS)
     if (most or 0) <= limit:
         return []
-    return [r[key] for r in counts.where(F.col(COUNT) > limit).select(key).collect()]
+    return hot_counted(counts, key, COUNT, total, hot_rows=hot_rows)
 
 
 def lookup(rows: DataFrame, per_key: DataFrame, key: str, *, spread: list[str], hot: list | None = None, how: str = "left") -> DataFrame:
