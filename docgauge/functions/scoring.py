@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docgauge.functions import text
 
-PRIMARY = {"strict": text.strict_similarity, "inclusive": text.inclusive_similarity, "raw_length": text.raw_length_similarity}
+PRIMARY = ("strict", "inclusive", "raw_length")
 
 
 def metrics(prediction: Column, references: Column, status: Column, *, primary: str = "strict") -> Column:
@@ -15,17 +15,20 @@ def metrics(prediction: Column, references: Column, status: Column, *, primary:
 
     An unknown ``primary`` means the strict one.
     """
-    good = (status == "ok") & prediction.isNotNull()
-    good = F.coalesce(good, F.lit(False))
+    good = F.coalesce((status == "ok") & prediction.isNotNull(), F.lit(False))
     zero = F.lit(0.0)
-    chosen = PRIMARY.get(primary, text.strict_similarity)
-    return F.struct(
-        F.when(good, chosen(prediction, references)).otherwise(zero).alias("primary"),
-        F.when(good, text.strict_similarity(prediction, references)).otherwise(zero).alias("strict"),
-        F.when(good, text.inclusive_similarity(prediction, references)).otherwise(zero).alias("inclusive"),
-        F.when(good, text.raw_length_similarity(prediction, references)).otherwise(zero).alias("raw_length"),
-        F.when(good, text.exact(prediction, references)).otherwise(zero).alias("exact_match"),
-        good.alias("scored"),
-        (~good).alias("failure"),
-        (F.size(text.valid_references(references)) == 0).alias("invalid_references"),
-    )
+    chosen = primary if primary in PRIMARY else "strict"
+    # one array of one struct, or of a null one: no distance is computed for what failed
+    scores = F.when(good, text.similarities(prediction, references))
+
+    def named(s: Column) -> Column:
+        return F.struct(
+            F.coalesce(s[chosen], zero).alias("primary"),
+            *[F.coalesce(s[k], zero).alias(k) for k in PRIMARY],
+            F.when(good, text.exact(prediction, references)).otherwise(zero).alias("exact_match"),
+            good.alias("scored"),
+            (~good).alias("failure"),
+            (F.size(text.valid_references(references)) == 0).alias("invalid_references"),
+        )
+
+    return text.bind(scores, named)

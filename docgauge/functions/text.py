@@ -45,47 +45,55 @@ def _normal_references(references: Column) -> Column:
     return F.coalesce(F.filter(F.transform(references, normalize), lambda r: r != ""), F.array().cast("array<string>"))
 
 
-def _best(prediction: Column, references: Column, score: Callable[[Column], Column]) -> Column:
-    """The best score over the references, from the distance share of each.
-
-    Texts are normalised once.  Equal texts, and lengths too far apart to
-    reach a similarity of a half, need no distance.
+def similarities(prediction: Column, references: Column) -> Column:
+    """struct(strict, inclusive, raw_length): the best similarity over the references, by three rules.
+
+    The edit distance of the normalised texts is computed once a reference.
+    *strict*: a distance of half the longer text or more scores 0; *inclusive*:
+    a similarity of exactly a half counts; *raw_length*: the same distance over
+    the longer raw upper-case length.  Texts are normalised once; equal ones,
+    and lengths too far apart to reach a half by any rule, need no distance.
     """
+    raw = F.coalesce(prediction, F.lit(""))
 
     def over(p: Column) -> Column:
-        def share(r: Column) -> Column:
-            longest = F.greatest(F.length(r), F.length(p))
-            far = 2 * F.abs(F.length(r) - F.length(p)) > longest
-            return F.when(r == p, F.lit(0.0)).when(far | (p == ""), F.lit(1.0)).otherwise(F.levenshtein(r, p) / longest)
-
-        return F.array_max(F.transform(F.transform(_normal_references(references), share), score))
-
-    return F.coalesce(bind(normalize(F.coalesce(prediction, F.lit(""))), over), F.lit(0.0))
+        def measured(r: Column) -> Column:
+            longest = F.greatest(F.length(r["text"]), F.length(p["text"]))
+            widest = F.greatest(r["chars"], p["chars"], longest)
+            far = 2 * F.abs(F.length(r["text"]) - F.length(p["text"])) > widest
+            distance = F.when(r["text"] == p["text"], F.lit(0)).when(far, widest).otherwise(F.levenshtein(r["text"], p["text"]))
+            return F.struct(distance.alias("distance"), longest.alias("longest"), F.greatest(r["chars"], p["chars"]).alias("widest"))
+
+        def shares(found: Column) -> Column:
+            near = F.array_min(F.transform(found, lambda m: F.least(F.lit(1.0), m["distance"] / m["longest"])))
+            raw_near = F.array_min(F.transform(found, lambda m: m["distance"] / m["widest"]))
+            return F.struct(F.coalesce(near, F.lit(1.0)).alias("near"), F.coalesce(raw_near, F.lit(1.0)).alias("raw"))
+
+        texts = F.transform(valid_references(references), lambda r: F.struct(normalize(r).alias("text"), F.length(F.upper(r)).alias("chars")))
+        return bind(F.transform(texts, measured), shares)
+
+    given = F.struct(normalize(raw).alias("text"), F.length(F.upper(raw)).alias("chars"))
+    zero = F.lit(0.0)
+    return bind(
+        bind(given, over),
+        lambda s: F.struct(
+            F.when(s["near"] < 0.5, 1.0 - s["near"]).otherwise(zero).alias("strict"),
+            F.when(1.0 - s["near"] >= 0.5, 1.0 - s["near"]).otherwise(zero).alias("inclusive"),
+            F.when(1.0 - s["raw"] >= 0.5, 1.0 - s["raw"]).otherwise(zero).alias("raw_length"),
+        ),
+    )
 
 
 def strict_similarity(prediction: Column, references: Column) -> Column:
-    """Best similarity over the references; a distance share of a half or more scores 0."""
-    return _best(prediction, references, lambda share: F.when(share < 0.5, 1.0 - share).otherwise(F.lit(0.0)))
+    return similarities(prediction, references)["strict"]
 
 
 def inclusive_similarity(prediction: Column, references: Column) -> Column:
-    """Like the strict one, but a similarity of exactly a half counts."""
-    return _best(prediction, references, lambda share: F.when(1.0 - share >= 0.5, 1.0 - share).otherwise(F.lit(0.0)))
-
-
-def raw_length_similarity(prediction: Column, references: Column, threshold: float = 0.5) -> Column:
-    """Distance of the normalised texts over the longer raw upper-case length; the nearest reference decides."""
-    raw = F.coalesce(prediction, F.lit(""))
-
-    def over(both: Column) -> Column:
-        def share(reference: Column) -> Column:
-            longest = F.greatest(F.length(F.upper(reference)), both["chars"])
-            return F.when(longest == 0, F.lit(0.0)).otherwise(F.levenshtein(normalize(reference), both["text"]) / longest)
+    return similarities(prediction, references)["inclusive"]
 
-        return 1.0 - F.array_min(F.transform(valid_references(references), share))
 
-    similarity = bind(F.struct(normalize(raw).alias("text"), F.length(F.upper(raw)).alias("chars")), over)
-    return F.coalesce(bind(similarity, lambda x: F.when(x >= threshold, x)), F.lit(0.0))
+def raw_length_similarity(prediction: Column, references: Column) -> Column:
+    return similarities(prediction, references)["raw_length"]
 
 
 def exact(prediction: Column, references: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from html import escape
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,20 +55,72 @@ def write_markdown(df: DataFrame, path: str | Path, title: str) -> None:
     write_text(df.sparkSession, str(path), "\n".join(lines) + "\n")
 
 
+def _scaled(values: Sequence[float], low: float, high: float) -> list[float]:
+    """Values between two places; equal ones lie in the middle."""
+    least, most = min(values), max(values)
+    return [(low + high) / 2 if most == least else low + (v - least) * (high - low) / (most - least) for v in values]
+
+
+def _drawn(width: int, height: int, *marks: str) -> str:
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{"".join(marks)}</svg>\n'
+
+
+def write_bar_chart(df: DataFrame, label: str, values: Sequence[str], path: str | Path, *, width: int = 640, height: int = 320, margin: int = 40) -> None:
+    """Grouped bars from 0, one group a row; nulls and negative values have no bar."""
+    rows = _rows(df.select(label, *values))
+    most = max([v for r in rows for k in values if (v := r[k]) is not None and v > 0], default=0)
+    step = (width - 2 * margin) / max(1, len(rows))
+    thick = 0.8 * step / max(1, len(values))
+    marks = []
+    for i, r in enumerate(rows):
+        for j, k in enumerate(values):
+            if most and r[k] is not None and r[k] > 0:
+                tall = float(r[k]) / float(most) * (height - 2 * margin)
+                marks.append(f'<rect x="{margin + i * step + j * thick:.1f}" y="{height - margin - tall:.1f}" width="{thick:.1f}" height="{tall:.1f}" fill="hsl({360 * j // max(1, len(values))},50%,50%)"/>')
+        marks.append(f'<text x="{margin + i * step:.1f}" y="{height - margin / 2}">{escape(str(r[label]))}</text>')
+    write_text(df.sparkSession, str(path), _drawn(width, height, *marks))
+
+
+def write_scatter(df: DataFrame, x: str, y: str, path: str | Path, *, width: int = 640, height: int = 320, margin: int = 40, ticks: int = 5) -> None:
+    """Points with as many ticks as there are values, at most ``ticks``."""
+    points = [(float(r[x]), float(r[y])) for r in _rows(df.select(x, y)) if r[x] is not None and r[y] is not None]
+    marks = []
+    if points:
+        xs, ys = _scaled([p[0] for p in points], margin, width - margin), _scaled([p[1] for p in points], height - margin, margin)
+        marks = [f'<circle cx="{a:.1f}" cy="{b:.1f}" r="3"/>' for a, b in zip(xs, ys)]
+        shown = sorted({p[0]: a for p, a in zip(points, xs)}.items())
+        marks += [f'<text x="{a:.1f}" y="{height - margin / 2}">{v:g}</text>' for v, a in shown[:: max(1, -(-len(shown) // ticks))]]
+    write_text(df.sparkSession, str(path), _drawn(width, height, *marks))
+
+
+def figures(made: Mapping[str, Callable[[], None]]) -> dict[str, str | None]:
+    """Draws each figure; what went wrong with one is noted and stops neither the others nor the job."""
+    errors: dict[str, str | None] = {}
+    for name, draw in made.items():
+        try:
+            draw()
+            errors[name] = None
+        except Exception as fault:  # noqa: BLE001
+            errors[name] = f"{type(fault).__name__}: {fault}"
+    return errors
+
+
+def packet_totals(inventory: DataFrame) -> DataFrame:
+    """One row of a review inventory: files by status, and bytes that are included."""
+    names = ("included", "missing", "skipped_binary", "skipped_too_large")
+    return inventory.agg(*[F.count_if(F.col("status") == n).alias(n) for n in names], F.coalesce(F.sum(F.when(F.col("status") == "included", F.col("length"))), F.lit(0)).alias("bytes"))
+
+
 def write_line_chart(df: DataFrame, x: str, y: str, path: str | Path, *, width: int = 640, height: int = 320, margin: int = 40) -> None:
     """A series as SVG; a constant series runs through the middle, an empty one has no line."""
     points = sorted((r[x], r[y]) for r in _rows(df.select(x, y)) if r[x] is not None and r[y] is not None)
 
-    def scaled(values: list[float], low: float, high: float) -> list[float]:
-        least, most = min(values), max(values)
-        return [(low + high) / 2 if most == least else low + (v - least) * (high - low) / (most - least) for v in values]
-
     line = ""
     if points:
-        xs = scaled([float(p[0]) for p in points], margin, width - margin)
-        ys = scaled([float(p[1]) for p in points], height - margin, margin)
+        xs = _scaled([float(p[0]) for p in points], margin, width - margin)
+        ys = _scaled([float(p[1]) for p in points], height - margin, margin)
         line = f'<polyline fill="none" stroke="black" points="{" ".join(f"{a:.1f},{b:.1f}" for a, b in zip(xs, ys))}"/>'
-    write_text(df.sparkSession, str(path), f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{line}<text x="{margin}" y="20">{y}</text></svg>\n')
+    write_text(df.sparkSession, str(path), _drawn(width, height, line, f'<text x="{margin}" y="20">{escape(y)}</text>'))
 
 
 #: Folders of a store.  A batch is held against the keys of those it writes to.

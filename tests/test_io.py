@@ -123,6 +123,13 @@ def test_reports(spark, tmp_path):
     reports.write_line_chart(df, "x", "y", tmp_path / "r.svg")
     assert json.loads((tmp_path / "r.json").read_text())[0]["y"] == 0.5
     assert r"a\|b" in (tmp_path / "r.md").read_text() and "polyline" in (tmp_path / "r.svg").read_text()
+    for draw in (lambda d, to: reports.write_bar_chart(d, "t", ["x", "y"], to), lambda d, to: reports.write_scatter(d, "x", "y", to)):
+        for rows in (df, df.limit(0)):
+            draw(rows, tmp_path / "c.svg")
+            assert (tmp_path / "c.svg").read_text().startswith("<svg")
+    assert reports.figures({"good": lambda: None, "bad": lambda: 1 / 0}) == {"good": None, "bad": "ZeroDivisionError: division by zero"}
+    listed = spark.createDataFrame([("a", "included", 5), ("b", "missing", 0), ("c", "included", 2)], "path string, status string, length long")
+    assert tuple(reports.packet_totals(listed).first()) == (2, 1, 0, 0, 7)
     with pytest.raises(ValueError, match="outside"):
         reports.confined(tmp_path / ".." / "x", tmp_path)
     (tmp_path / "a.txt").write_text("x")
