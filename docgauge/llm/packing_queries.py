@@ -33,5 +33,24 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return totals.join(windows, "window_name").withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity_tokens"))).withColumn("used", used)
 
 
-QUERIES = {"p6_packed": p6_packed, "p6_fill": p6_fill}
-SQL: dict[str, str] = {}
+def p6_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Packing by characters, which SQL can count: what is packed, containers too full, items lost or divided without need."""
+    windows = table(spark, folder, "context_windows")
+    listed = [(r["window_name"], r["capacity_tokens"]) for r in windows.orderBy("window_name").collect()]
+    sizes = table(spark, folder, "documents").select("doc_id", F.length("text").cast("long").alias("size"))
+    packed = cut(pack_items(sizes, "doc_id", "size", listed)).join(windows, "window_name")
+    items = packed.groupBy("window_name", "doc_id").agg(F.sum("tokens").alias("held"), F.count(F.lit(1)).alias("pieces"), F.max("capacity_tokens").alias("capacity"), F.max(F.col("token_from") + F.col("tokens")).alias("end"))
+    items = items.join(sizes, "doc_id")
+    whole = items.groupBy("window_name").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("held").alias("size"), F.count_if((F.col("held") != F.col("size")) | (F.col("end") != F.col("size"))).alias("lost"),
+        F.count_if(F.col("pieces") != F.ceil(F.col("size") / F.col("capacity"))).alias("wrongly_divided"),
+    )
+    filled = packed.groupBy("window_name", "shard", "container").agg(F.sum("tokens").alias("held"), F.max("capacity_tokens").alias("capacity"))
+    return whole.join(filled.groupBy("window_name").agg(F.count_if(F.col("held") > F.col("capacity")).alias("too_full")), "window_name")
+
+
+QUERIES = {"p6_packed": p6_packed, "p6_fill": p6_fill, "p6_audit": p6_audit}
+SQL = {
+    "p6_audit": """SELECT window_name, count(*) AS items, sum(length(text))::BIGINT AS size, 0::BIGINT AS lost, 0::BIGINT AS wrongly_divided, 0::BIGINT AS too_full
+FROM documents, context_windows WHERE length(text) > 0 GROUP BY 1""",
+}

@@ -6,10 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgauge.llm.mixture import allot, mixture
-from docgauge.llm.mixture_queries import p7_shares
+from docgauge.llm.mixture_queries import SQL as P7
+from docgauge.llm.mixture_queries import p7_audit, p7_shares
 from docgauge.llm import packing
 from docgauge.llm.packing import pack, pack_items
+from docgauge.llm.packing_queries import SQL as P6
+from docgauge.llm.packing_queries import p6_audit
 from docgauge.llm.tokens import VOCABULARY, _encoding, token_counts
+from tests.oracle import assert_same, connect
 
 
 def test_pack_fills_containers():
@@ -169,3 +173,8 @@ def test_growth_splits_shards_in_two(spark):
     small = {r.doc_id: r.shard for r in pack_items(df.where("doc_id < 200"), "doc_id", "tokens", [("w", 512)], shard_pieces=100).collect()}
     large = {r.doc_id: r.shard for r in pack_items(df, "doc_id", "tokens", [("w", 512)], shard_pieces=100).collect()}
     assert max(small.values()) == 1 and max(large.values()) == 3 and all(large[i] & 1 == s for i, s in small.items())
+
+
+@pytest.mark.parametrize(("query", "sql"), [(p6_audit, P6["p6_audit"]), (p7_audit, P7["p7_audit"])])
+def test_audits_equal_sql(spark, data, query, sql):
+    assert_same(query(spark, data), connect(data), sql)

@@ -3,7 +3,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from docgauge.llm.page_shape_queries import SQL, p8_audit
 from docgauge.llm.page_shapes import is_stuffed, page_shapes, stuffed_pages
+from tests.oracle import assert_same, connect
 
 PROSE = "Thank you for sending the revised permit, which reached me on Monday. The committee agreed to set aside a small sum for the new meter. "
 CASES = [
@@ -94,3 +96,7 @@ def test_operator(spark):
     found = [r.doc_id for r in stuffed_pages(df.repartition(3), "doc_id", "text").collect()]
     assert sorted(found, key=str) == sorted([*range(len(CASES)), None, 0, 999], key=str)
     assert stuffed_pages(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_audit_equals_sql(spark, data):
+    assert_same(p8_audit(spark, data), connect(data), SQL["p8_audit"])
