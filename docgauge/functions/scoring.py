@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docgauge.functions import text
 
+def stored_metric(rows: DataFrame, names: Sequence[str], *, default: float | None = 0.0) -> Column:
+    """The first of the stored scores ``names`` that a row has, in ``metrics``, in ``scores``, or of its own.
+
+    Layouts differ from one log to another: columns that are not there are
+    passed over.  A score of 0 is a score; ``default`` stands for none, null if
+    it is None.
+    """
+    held = {c: {f.name for f in rows.schema[c].dataType.fields} for c in ("metrics", "scores") if c in rows.columns and isinstance(rows.schema[c].dataType, StructType)}
+    found = [F.col(c)[n] for n in names for c in held if n in held[c]] + [F.col(f"`{n}`") for n in names if n in rows.columns]
+    return F.coalesce(*[c.cast("double") for c in found], F.lit(default).cast("double"))
+
+
 PRIMARY = ("strict", "inclusive", "raw_length")
 
 

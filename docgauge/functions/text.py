@@ -137,6 +137,14 @@ def error_tag(prediction: Column, references: Column) -> Column:
     return F.when(formatting, "formatting").when(partial, "partial").otherwise("content")
 
 
+def error_tags(prediction: Column, references: Column, opened: Column) -> Column:
+    """All tags of a miss: what it is by its text, whether its image was ``opened``, and that nothing more is claimed."""
+    kind = error_tag(prediction, references)
+    by_text = F.when(kind == "formatting", "formatting_difference").when(kind == "partial", "possible_partial_span_or_entity_uncertain").otherwise("content_mismatch_string_level")
+    image = F.when(F.coalesce(opened, F.lit(False)), "image_opened_no_ocr_layout_tooling").otherwise("image_not_inspected")
+    return F.array(by_text, image, F.lit("descriptive_only"))
+
+
 def prompt(question: Column, instruction: str) -> Column:
     return F.concat_ws("\n", strip(question), F.lit(instruction))
 

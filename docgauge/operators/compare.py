@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgauge.functions.text import normalize
+from docgauge.operators.coverage import enforce
 
 #: Differences up to this are ties.
 TIE = 1e-12
@@ -55,6 +56,11 @@ def mismatches(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]) ->
     return left.join(right, key).select(key, F.explode(fields).alias("field"))
 
 
+def same_rows(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]) -> None:
+    """Raises, naming some fields, unless rows of the same key agree in all ``columns``."""
+    enforce(mismatches(a, b, key, columns), "rows differ")
+
+
 def best_step(summary: DataFrame, step: str, score: str) -> DataFrame:
     """The step with the best score; of equals, the earliest."""
     return summary.orderBy(F.desc(score), F.asc(step)).limit(1)

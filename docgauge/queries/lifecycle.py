@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +12,17 @@ from docgauge.operators.resume import run_states, weight_sets
 from docgauge.plans.flows import run_predictions
 from docgauge.queries.scoring import RUN
 from docgauge.sinks.reports import append_records, stored
-from docgauge.session import shared_checkpoint_dir, table
+from docgauge.session import scratch, table
 from docgauge.sources.jsonl import first_match, read_compatible, read_jsonl, read_last, read_once
 from docgauge.streaming.scores import stream_once, stream_unique, windowed_latency
 
 _LINE = "record_id long, question_id long, status string, run_fingerprint struct<run_fingerprint_sha256:string>"
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder beside the tables that cut lineage."""
-    return f"{shared_checkpoint_dir(spark)}/docgauge-{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
-
-
 def _lines(spark: SparkSession, folder: str) -> str:
     """The append log as JSON lines, written in the order of its records."""
     log = table(spark, folder, "holdout_predictions").select("record_id", "question_id", "status", F.struct("run_fingerprint_sha256").alias("run_fingerprint")).dropDuplicates(["record_id"])
-    path = _scratch(spark)
+    path = scratch(spark, "files")
     log.repartitionByRange("record_id").sortWithinPartitions("record_id").write.json(path)
     return path
 
@@ -55,7 +48,7 @@ def jsonl_first_error(spark: SparkSession, folder: str) -> DataFrame:
 def jsonl_unique(spark: SparkSession, folder: str) -> DataFrame:
     """The question list as lines, read where repeated and unknown questions raise."""
     rows = table(spark, folder, "manifest_examples").select("question_id", "doc_id")
-    path = _scratch(spark)
+    path = scratch(spark, "files")
     rows.write.json(path)
     return read_once(spark, path, "question_id long, doc_id long", "question_id", rows)
 
@@ -63,7 +56,7 @@ def jsonl_unique(spark: SparkSession, folder: str) -> DataFrame:
 def appended_once(spark: SparkSession, folder: str) -> DataFrame:
     """The log appended to a store twice over, of which nothing is there twice."""
     log = table(spark, folder, "holdout_predictions").select("record_id", "system", "status", "logged_at")
-    store = _scratch(spark)
+    store = scratch(spark, "files")
     for _ in range(2):
         append_records(log, store, ["record_id"], order=["logged_at", "status"])
     return stored(spark, store, log.schema).groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("record_id").alias("records"))
@@ -72,21 +65,21 @@ def appended_once(spark: SparkSession, folder: str) -> DataFrame:
 def stream_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The log as a stream, scored once into a store, though the stream is run twice from its start."""
     kind = spark.read.parquet(f"{folder}/holdout_predictions.parquet").schema
-    store, source = _scratch(spark), f"{folder}/holdout_predictions.parquet"
+    store, source = scratch(spark, "files"), f"{folder}/holdout_predictions.parquet"
     score = F.when(F.col("status") == "ok", F.coalesce("metrics.anls_normalized_strict_v2", F.lit(0.0))).otherwise(F.lit(0.0))
     scored = lambda batch: batch.groupBy("record_id").agg(F.min("system").alias("system"), F.min(score).alias("score"))
     for _ in range(2):
-        stream_once(spark, source, kind, store, _scratch(spark), ["record_id"], scored).awaitTermination()
+        stream_once(spark, source, kind, store, scratch(spark, "files"), ["record_id"], scored).awaitTermination()
     return stored(spark, store, "record_id long, system string, score double").groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("score"))
 
 
 def stream_deliveries(spark: SparkSession, folder: str) -> DataFrame:
     """Deliveries as a stream, each batch with one row per question, merged by a store."""
     source = f"{folder}/internvl_error_sample_v1.parquet"
-    kind, store = spark.read.parquet(source).schema, _scratch(spark)
+    kind, store = spark.read.parquet(source).schema, scratch(spark, "files")
     keep = ["question_id", "received_at", "delivery_id"]
     sink = lambda batch, _: append_records(batch.select(*keep), store, ["question_id"], order=["received_at", "delivery_id"])
-    stream_unique(spark, source, kind, _scratch(spark), sink, "question_id", ["received_at", "delivery_id"]).awaitTermination()
+    stream_unique(spark, source, kind, scratch(spark, "files"), sink, "question_id", ["received_at", "delivery_id"]).awaitTermination()
     return stored(spark, store, spark.read.parquet(source).select(*keep).schema).select("question_id", "delivery_id")
 
 

@@ -63,6 +63,15 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, of a folder that is deleted when the driver's JVM ends."""
+    own = f"{shared_checkpoint_dir(spark)}/docgauge-{spark.sparkContext.applicationId}"
+    files, java = _files(spark, own)
+    files.mkdirs(java)
+    files.deleteOnExit(java)
+    return f"{own}/{kind}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
@@ -71,10 +80,8 @@ def cut(df: DataFrame) -> DataFrame:
     :func:`discard`, or else until the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_checkpoint_dir(spark)}/docgauge-{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
-    files, java = _files(spark, path)
-    files.deleteOnExit(java.getParent())
     kept = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[id(kept)] = path
     weakref.finalize(kept, _WRITTEN.pop, id(kept), None)

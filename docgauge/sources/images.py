@@ -193,6 +193,32 @@ def _readable(data) -> np.ndarray | None:
         return None
 
 
+def png_size(content: Column) -> Column:
+    """struct(width, height) from the head of a PNG, without decoding it; null for other bytes."""
+    head = F.hex(F.substring(content, 1, 24))
+    side = lambda at: F.conv(F.substring(head, at, 8), 16, 10).cast("int")
+    return F.when(head.startswith(_SIGNATURE.hex().upper()) & (F.length(head) == 48), F.struct(side(33).alias("width"), side(41).alias("height")))
+
+
+def audited_images(examples: DataFrame, files: DataFrame, path: str, png: str, rgb: str) -> DataFrame:
+    """``examples`` with ``image_state``: ok, missing, corrupt, mismatch or repaired_ok.
+
+    ``files`` has path and content.  A file whose bytes are not those expected
+    but whose pixels are is as good as repaired: its own digest is in
+    ``actual_png``.  Where nothing is expected a readable file is ok.
+    """
+    read = files.select(F.col("path").alias(path), F.sha2("content", 256).alias("actual_png"), rgb_digest(F.col("content")).alias("__rgb"))
+    same_png, same_rgb = F.col(png) == F.col("actual_png"), F.col(rgb) == F.col("__rgb")
+    state = (
+        F.when(F.col("actual_png").isNull(), "missing")
+        .when(F.col("__rgb").isNull(), "corrupt")
+        .when(F.coalesce(same_png, F.lit(False)) | (F.col(png).isNull() & F.col(rgb).isNull()), "ok")
+        .when(F.coalesce(same_rgb, F.lit(False)), "repaired_ok")
+        .otherwise("mismatch")
+    )
+    return examples.join(read, path, "left").withColumn("image_state", state).drop("__rgb")
+
+
 def materialise(images: DataFrame, key: str, content: str, store: str) -> None:
     """Appends to ``store`` the images it lacks, as RGB PNGs with their digests.
 
