@@ -37,3 +37,14 @@ def test_bounds_and_empty(spark):
 
 def test_equals_sql(spark, data):
     assert_same(p3_sample(spark, data), connect(data), SQL["p3_sample"])
+
+
+def test_even_coverage_of_the_records_themselves(spark, data):
+    """Real ids have gaps, so the sample is as even as one drawn by chance, or better; each batch adds to it."""
+    sent = spark.read.parquet(f"{data}/internvl_error_sample_v1.parquet").select("question_id", "batch_id")
+    n = sent.select("question_id").distinct().count()
+    for share in (0.1, 0.5):
+        size = stable_sample(sent, "question_id", share).count()
+        assert abs(size - share * n) <= 3 * (n * share * (1 - share)) ** 0.5
+    early = sent.where(F.col("batch_id") <= sent.agg(F.min("batch_id")).first()[0])
+    assert {r.question_id for r in stable_sample(early, "question_id", 0.1).collect()} <= {r.question_id for r in stable_sample(sent, "question_id", 0.1).collect()}
