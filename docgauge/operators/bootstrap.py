@@ -10,6 +10,10 @@ from docgauge.operators.sampling import running_total
 from docgauge.session import cut
 
 
+#: Draws that one task makes, at most.
+TASK_DRAWS = 2_000_000
+
+
 def cluster_bootstrap(scores: DataFrame, group: str, base: str, other: str, *, replicates: int, seed: int) -> DataFrame:
     """One row: observed mean, mean and 2.5 / 97.5 percentiles of the resampled mean difference.
 
@@ -26,7 +30,9 @@ def cluster_bootstrap(scores: DataFrame, group: str, base: str, other: str, *, r
     spot = F.sha2(F.substring("__group", 2, 2**31 - 1), 256)
     dense = running_total(sums.withColumn("__h", spot), F.lit(1), F.substring("__h", 1, 3), [F.col("__h"), F.col("__group")], "place", before=True).select("place", "gain", "n")
     size = sums.count()
-    draws = scores.sparkSession.range(replicates * size).select(F.expr(f"id div {max(1, size)}").alias("replicate"), F.expr(f"id % {max(1, size)}").alias("draw"))
+    spark = scores.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, replicates * size // TASK_DRAWS)
+    draws = spark.range(0, replicates * size, 1, tasks).select(F.expr(f"id div {max(1, size)}").alias("replicate"), F.expr(f"id % {max(1, size)}").alias("draw"))
     draws = draws.select("replicate", hashed_index(hashed(seed, F.col("replicate"), F.col("draw")), F.lit(size)).alias("place"))
     means = draws.join(dense.hint("shuffle_hash"), "place").groupBy("replicate").agg((F.sum("gain") / F.sum("n")).alias("mean"))
     observed = sums.agg(F.sum("gain") / F.sum("n")).scalar()
