@@ -36,7 +36,9 @@ INFERENCE_FIELDS = (
     "model_id", "model_revision", "manifest_content_sha256", "instruction", "max_new_tokens", "do_sample", "prefer_bf16", "seed", "config_path", "config_sha256",
     "resolved_dtype", "processor_settings", "software", "inference_source_hashes", "adapter_dir", "adapter_config_sha256", "adapter_weights_sha256", "train_update", "perturbation",
 )
-#: Those that may be left out.
+#: Versions of what is digested (fixed values).
+INFERENCE_SCHEMA, SCORING_SCHEMA = "inference_v2", "scoring_v2"
+#: Those fields that may be left out.
 OPTIONAL_FIELDS = ("adapter_dir", "adapter_config_sha256", "adapter_weights_sha256", "train_update", "perturbation")
 
 
@@ -49,12 +51,12 @@ def inference_fingerprint(**settings: object) -> dict:
     missing = [f for f in INFERENCE_FIELDS if f not in settings and f not in OPTIONAL_FIELDS]
     if unknown or missing:
         raise ValueError(f"unknown fields {unknown}, missing fields {missing}")
-    return fingerprint({**{f: settings.get(f) for f in INFERENCE_FIELDS}, "fingerprint_schema": "inference_v2"})
+    return fingerprint({**{f: settings.get(f) for f in INFERENCE_FIELDS}, "fingerprint_schema": INFERENCE_SCHEMA})
 
 
 def scoring_provenance(primary: str, answers_sha256: str, scorer_sha256: str) -> dict:
     """What a score depends on beside the predictions."""
-    return {"primary_metric": primary, "answer_sidecar_sha256": answers_sha256, "scorer_source_sha256": scorer_sha256, "scoring_schema": "scoring_v2"}
+    return {"primary_metric": primary, "answer_sidecar_sha256": answers_sha256, "scorer_source_sha256": scorer_sha256, "scoring_schema": SCORING_SCHEMA}
 
 
 def source_digest(*modules: ModuleType) -> str:

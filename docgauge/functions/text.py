@@ -137,12 +137,18 @@ def error_tag(prediction: Column, references: Column) -> Column:
     return F.when(formatting, "formatting").when(partial, "partial").otherwise("content")
 
 
+# The tags of a miss, by what explains its text and by whether its image was opened.
+TEXT_TAGS = {"formatting": "formatting_difference", "partial": "possible_partial_span_or_entity_uncertain", "content": "content_mismatch_string_level"}
+IMAGE_TAGS = {True: "image_opened_no_ocr_layout_tooling", False: "image_not_inspected"}
+LAST_TAG = "descriptive_only"
+
+
 def error_tags(prediction: Column, references: Column, opened: Column) -> Column:
     """All tags of a miss: what it is by its text, whether its image was ``opened``, and that nothing more is claimed."""
     kind = error_tag(prediction, references)
-    by_text = F.when(kind == "formatting", "formatting_difference").when(kind == "partial", "possible_partial_span_or_entity_uncertain").otherwise("content_mismatch_string_level")
-    image = F.when(F.coalesce(opened, F.lit(False)), "image_opened_no_ocr_layout_tooling").otherwise("image_not_inspected")
-    return F.array(by_text, image, F.lit("descriptive_only"))
+    by_text = F.coalesce(*[F.when(kind == k, tag) for k, tag in TEXT_TAGS.items()])
+    image = F.when(F.coalesce(opened, F.lit(False)), IMAGE_TAGS[True]).otherwise(IMAGE_TAGS[False])
+    return F.array(by_text, image, F.lit(LAST_TAG))
 
 
 def prompt(question: Column, instruction: str) -> Column:
