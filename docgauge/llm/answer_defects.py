@@ -6,7 +6,7 @@ Every rule that fires is emitted; the first one is the pair's defect.
 
 The last rule is a script mismatch, and, as one script has many languages, a
 model beside it: shares of languages in the uses of frequent words, fitted on
-a bounded sample, and fixed function words and endings of further languages.
+all questions, and fixed function words and endings of further languages.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.session import cut
+from docgauge.session import cut, discard
 
 #: Ranks of the defects: the first that fires names the pair.
 DEFECTS = ("empty", "refusal", "question_copy", "truncated", "other_language")
@@ -156,10 +156,9 @@ def breaks_off(answer: Column, given: Column, stem: Column, refs: Column) -> Col
 
 # --- language ---------------------------------------------------------------------
 
-#: The language model is fitted on the rows of about this many questions,
-#: chosen by a hash of the question's id, and keeps this many words.
+#: Limits nothing: the language model is fitted on all questions.  The name
+#: stays as a test sets it.
 TRAINED_QUESTIONS = 20_000
-KEPT_WORDS = 6_000
 
 #: Words that open questions, beside the open words above (fixed values).
 _ASKING = {
@@ -177,7 +176,7 @@ _DATE = regex.compile(rf"\b\d{{1,2}}(?:\.|er|st|nd|rd|th)?\s+(?:de\s+|of\s+)?{_M
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 #: Titles and initialled names (fixed values for the titles).
 _NAME = regex.compile(r"\b(?:mr|mrs|ms|dr|prof|herr|frau|mme|sr|sra)\.?(?:\s+\p{L}\.)*(?:\s+[\p{L}'-]+)?|\b\p{L}\.\s*(?:\p{L}\.\s*)*[\p{L}'-]+", regex.IGNORECASE)
-#: Least part of the sampled questions that use a word of the model.
+#: Least part of the questions that use a word of the model.
 LEAST_USE = 0.0005
 #: Least score of another language, and its least lead over that of the question.
 LEAST_SCORE, LEAD = 1.0, 1.0
@@ -190,30 +189,33 @@ def _among(words: Column, listed: list[str]) -> Column:
 def fit_languages(pairs: DataFrame) -> dict[str, tuple[tuple[str, float], ...]]:
     """Share of the languages in the uses of a word, for frequent words.
 
-    Fitted on a bounded sample of questions (``TRAINED_QUESTIONS``), labelled
-    by the function words of the question where one language has most of them;
-    an empty sample gives no words.  The sample is cut out by a hash before
-    anything is shuffled.
+    Counted over every question with an id, one row of it, labelled by the
+    function words of the question where one language has most of them; no
+    questions give no words.  Only the counts leave the executors: the words
+    that are used by ``LEAST_USE`` of the questions are at most the mean number
+    of words of a question over ``LEAST_USE``, however many questions there are.
     """
     identified = pairs.where(F.col("question_id").isNotNull())
-    part = min(1.0, TRAINED_QUESTIONS / max(1, identified.count()))
-    chosen = identified.where(F.shiftrightunsigned(F.xxhash64("question_id"), 24) < F.lit(round(part * 2**40)))
-    sample = cut(chosen.groupBy("question_id").agg(F.min(F.struct("question", "reference_answers")).alias("row")).select("row.*").repartition(16))
-    asked = F.split(_plain(F.col("question")), _APART)
-    hits = [_among(asked, f"{_OPEN_WORDS[k]} {words}".split()) for k, words in _ASKING.items()]
-    counted = sample.select(asked.alias("asked"), "reference_answers", F.array(*hits).alias("hits"))
+    each = identified.groupBy("question_id").agg(F.min(F.struct("question", "reference_answers")).alias("row")).select("row.*")
+    apart = lambda c: F.split(F.lower(F.coalesce(c, F.lit(""))), _APART)
+    asked = apart(F.col("question"))
+    hits = [_among(F.col("asked"), f"{_OPEN_WORDS[k]} {words}".split()) for k, words in _ASKING.items()]
     best = F.array_max("hits")
     label = F.when((best > 0) & (F.size(F.filter("hits", lambda n: n == best)) == 1), F.element_at(F.array(*map(F.lit, _ASKING)), F.array_position("hits", best).cast("int")))
-    used = F.array_union("asked", F.split(F.array_join(_references(F.col("reference_answers")), " "), _APART))
-    words = counted.select(label.alias("language"), F.explode(used).alias("word")).where(F.col("language").isNotNull() & (F.col("word") != ""))
-    least = max(3, round(LEAST_USE * sample.count()))
-    counts = words.groupBy("word").pivot("language", list(_ASKING)).agg(F.count(F.lit(1)))
-    total = sum((F.coalesce(k, F.lit(0)) for k in _ASKING), F.lit(0))
-    rows = counts.withColumn("n", total).where(F.col("n") >= F.lit(least)).orderBy(F.desc("n"), "word").limit(KEPT_WORDS).collect()
-    sizes = {k: max(1, sum(r[k] or 0 for r in rows)) for k in _ASKING}
+    used = F.array_union("asked", apart(F.array_join("reference_answers", " ")))
+    # the empty word stands for the question itself, labelled or not
+    words = F.when(F.col("language").isNotNull(), F.array_union(used, F.array(F.lit("")))).otherwise(F.array(F.lit("")))
+    labelled = each.withColumn("asked", asked).withColumn("hits", F.array(*hits)).withColumn("language", label)
+    uses = labelled.select("language", F.explode(words).alias("word")).groupBy("word")
+    counts = cut(uses.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("language") == k).alias(k) for k in _ASKING]))
+    questions = sum(r["n"] for r in counts.where(F.col("word") == "").collect())
+    least = max(3, round(LEAST_USE * questions))
+    rows = counts.where((F.col("word") != "") & (F.col("n") >= least)).collect()
+    discard(counts)
+    sizes = {k: max(1, sum(r[k] for r in rows)) for k in _ASKING}
     table = {}
     for r in rows:
-        rates = {k: (r[k] or 0) / sizes[k] for k in _ASKING}
+        rates = {k: r[k] / sizes[k] for k in _ASKING}
         whole = sum(rates.values())
         table[r["word"]] = tuple((k, v / whole) for k, v in rates.items() if v > 0.02 * whole)
     return table

@@ -120,6 +120,16 @@ def test_the_sample_is_cut_out_before_any_shuffle(spark, monkeypatch):
     assert table["what"][0][0] == "en" and len(table) < 120 and fit_languages(spark.createDataFrame([], KIND)) == {}
 
 
+def test_every_question_and_every_frequent_word_counts(spark, monkeypatch):
+    monkeypatch.setattr(answer_defects, "TRAINED_QUESTIONS", 5)
+    rows = [(i, *CORPUS[i % 5], [CORPUS[i % 5][1]], 1) for i in range(400)]
+    rows += [(1000 + i, "What is the heading?", "x", ["gleam", None], 1) for i in range(2)] + [(1002, "Was ist der Grund und wer ist dafür?", "x", ["gleam gleam"], 1)] * 9
+    table = fit_languages(spark.createDataFrame(rows, KIND).repartition(7))
+    assert table["what"] == (("en", 1.0),) and {k for k, _ in table["gleam"]} == {"en", "de"}  # three questions of 403 have it, one of them nine times
+    long = [" ".join("".join(chr(97 + k // 26**j % 26) for j in range(3)) + "q" for k in range(7000))]
+    assert len(fit_languages(spark.createDataFrame([(i, Q, "x", long, 1) for i in range(3)], KIND))) >= 7000
+
+
 def test_one_row_per_question_and_edges(spark, pairs):
     again = pairs.withColumn("at", F.lit(0)).withColumn("prediction", F.lit("Unanswerable")).where("question_id = 31")
     nulls = spark.createDataFrame([(None, None, None, None, None), (900, None, "an answer", None, None), (901, "", None, [None], 3), (902, None, "", [], 1)], KIND)
