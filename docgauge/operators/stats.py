@@ -13,6 +13,20 @@ from docgauge.operators.numbering import numbered
 BUCKETS = 256
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles that is the same in every order of the rows.
+
+    Doubles are added as decimals of 20 places, since the last digit of a sum of
+    doubles, and with it the rounding of a mean that lies halfway, depends on
+    how rows are spread.  Values of a million or more, infinities and NaN are
+    added as doubles.  Null values take no part.
+    """
+    small = F.abs(value) < 1e6
+    exact = F.sum(F.when(small, value.cast("decimal(27,20)"))).cast("double")
+    large = F.sum(F.when(~small, value))
+    return F.coalesce(exact + large, exact, large)
+
+
 def order_statistics(df: DataFrame, by: Sequence[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Exact values at places (0-based, as functions of the count) in each group's order.
 

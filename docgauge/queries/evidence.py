@@ -37,7 +37,7 @@ def paired_required(spark: SparkSession, folder: str) -> DataFrame:
     rows = _scores(spark, folder).join(required, "question_id", "left_semi")
     both = paired_conditions(rows, KEY, "system", [BASE, OTHER], F.col("score"))
     delta = F.coalesce(OTHER, F.lit(0.0)) - F.coalesce(BASE, F.lit(0.0))
-    counts = both.groupBy("run_tag").agg(F.max(n).alias("n_required"), F.count_if(delta > TIE).alias("improved"), F.count_if(delta < -TIE).alias("regressed"), F.sum(delta).alias("sum"))
+    counts = both.groupBy("run_tag").agg(F.max(n).alias("n_required"), F.count_if(delta > TIE).alias("improved"), F.count_if(delta < -TIE).alias("regressed"), stats.exact_sum(delta).alias("sum"))
     return counts.select("run_tag", "n_required", "improved", "regressed", (F.col("n_required") - F.col("improved") - F.col("regressed")).alias("tied"), F.round(F.col("sum") / F.col("n_required"), 6).alias("mean_delta"))
 
 

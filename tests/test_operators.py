@@ -1,5 +1,7 @@
+import math
 import random
 from collections import defaultdict
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from docgauge.operators.leakage import exclusion_reasons, overlap_counts
 from docgauge.operators.neighbors import nearest_donors
 from docgauge.operators.resume import guard_append, guard_hardware, incoherent_runs, pending, run_states, weight_sets
 from docgauge.operators.sampling import presented, spread_evenly, take_groups, take_per_group
-from docgauge.queries import comparison, resampling
+from docgauge.operators.stats import exact_sum
+from docgauge.queries import comparison, evidence, resampling
 
 SENT = "key long, at long, id long, payload string"
 
@@ -284,3 +287,34 @@ def test_comparisons_cover_every_system(spark, data):
     for query in (comparison.delta_to_base_all, comparison.gallery_picks_all):
         assert {r.system for r in query(spark, data).select("system").collect()} == systems
     assert {c[5:] for c in comparison.wide_predictions_all(spark, data).columns if c.startswith("pred_")} == systems
+
+
+def test_exact_sum_of_odd_values(spark):
+    rows = [("halves", x) for x in [0.1] * 10] + [("null", None), ("both", 0.5), ("both", None), ("both", 2e6), ("nan", float("nan")), ("nan", 1.0), ("inf", float("-inf")), ("inf", 1.0), ("zero", 0.0)]
+    found = {r.k: r.s for r in spark.createDataFrame(rows, "k string, x double").groupBy("k").agg(exact_sum(F.col("x")).alias("s")).collect()}
+    assert math.isnan(found.pop("nan"))
+    assert found == {"halves": 1.0, "null": None, "both": 2000000.5, "inf": float("-inf"), "zero": 0.0}
+
+
+def test_paired_means_halfway_do_not_depend_on_the_order(spark, tmp_path):
+    """Means of 2000 questions that lie halfway between two numbers of six digits."""
+    draw, rows, sums = random.Random(7), [], {}
+    for run in range(12):
+        base, other = ([round(draw.random(), 4) for _ in range(400)] for _ in range(2))
+        units = sum(round(b * 10000) - round(a * 10000) for a, b in zip(base, other))
+        spare = (10 - units) % 20 / 10000
+        i = next(i for i, x in enumerate(other) if x < 0.9)
+        other[i] = round(other[i] + spare, 4)
+        sums[f"run_{run}"] = math.fsum(b - a for a, b in zip(base, other))
+        rows += [(f"run_{run}", s, q, "ok", "x", (x, 0.0), 1, q, False) for s, xs in ((comparison.BASE, base), (comparison.OTHER, other)) for q, x in enumerate(xs)]
+    kind = "run_tag string, system string, question_id long, status string, prediction string, metrics struct<anls_normalized_strict_v2:double,exact_match:double>, logged_at long, record_id long, is_warmup boolean"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/holdout_predictions.parquet")
+    spark.range(2000).withColumnRenamed("id", "question_id").write.parquet(f"{tmp_path}/manifest_examples.parquet")
+    expected = {k: float(Decimal(repr(x / 2000)).quantize(Decimal("1e-6"), ROUND_HALF_UP)) for k, x in sums.items()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 2, 5):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.run_tag: r.mean_delta for r in evidence.paired_required(spark, str(tmp_path)).collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
